@@ -15,7 +15,8 @@ from gaugeworks.operators.slices import SlicedRows, neighbours, slice_rows
 
 def drop_unusable(frame: DataFrame) -> DataFrame:
     """Without time, station or device a reading cannot be placed in any series."""
-    return frame.dropna(subset=[TIME, *DEVICE_KEYS])
+    placed = [F.col(name).isNotNull() for name in (*DEVICE_KEYS, TIME)]
+    return frame.filter(placed[0] & placed[1] & placed[2])
 
 
 def reading_order(frame: DataFrame, sensors: Sequence[str]) -> list[str]:
@@ -33,8 +34,19 @@ def slice_readings(frame: DataFrame, sensors: Sequence[str], **limits: int) -> S
 
 
 def drop_incomplete(frame: DataFrame, sensors: Sequence[str]) -> DataFrame:
-    """Strategy ``drop``: only readings with every sensor present. No shuffle."""
-    return drop_unusable(frame).dropna(how="any", subset=list(sensors))
+    """Strategy ``drop``: only readings with every sensor present. No shuffle.
+
+    The sensors pass through a one-element array first: the null checks would otherwise be moved in
+    front of the coercion and repeat all of it.
+    """
+    others = [name for name in frame.columns if name not in sensors]
+    values = F.inline(F.array(F.struct(*sensors)))
+    return (
+        drop_unusable(frame)
+        .select(*others, values)
+        .dropna(how="any", subset=list(sensors))
+        .select(*frame.columns)
+    )
 
 
 def forward_fill(sliced: SlicedRows, sensors: Sequence[str]) -> DataFrame:

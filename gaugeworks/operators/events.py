@@ -40,7 +40,8 @@ def parse_events(raw: DataFrame, contract: Contract) -> DataFrame:
     Text fields must be JSON strings and the optional fields JSON objects; a number in a text field is
     a structural error. Sensor values that are not numbers become null and are no error.
     """
-    document = raw.withColumn("_doc", F.try_parse_json(PAYLOAD))
+    # Through a one-element array, so that filters on parsed fields do not repeat the parsing.
+    document = raw.select("*", F.explode(F.array(F.try_parse_json(PAYLOAD))).alias("_doc"))
     faults = [
         F.when(~F.coalesce(_json_type(name) == "STRING", F.lit(False)), F.lit(name))
         for name in TEXT_FIELDS

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.contract import Contract
 from gaugeworks.functions.coerce import is_present, to_number, to_timestamp
@@ -37,17 +38,16 @@ def normalize(frame: DataFrame, contract: Contract, *, nullify: bool = True) ->
         outside.append(beyond)
         typed[name] = F.when(~beyond, number) if nullify else number
 
-    columns = []
+    columns: list[Column] = []
     for name in frame.columns:
-        if name == TIME:
-            column = to_timestamp(F.col(TIME), types[TIME])
+        if name == TIME and types[name] != T.TimestampType():
+            columns.append(to_timestamp(F.col(TIME), types[TIME]).alias(TIME))
         elif name in typed:
-            column = typed[name]
-        elif name in rules:
-            column = F.col(name).cast("string")
+            columns.append(typed[name].alias(name))
+        elif name in rules and name != TIME and types[name] != T.StringType():
+            columns.append(F.col(name).cast("string").alias(name))
         else:
-            column = F.col(name)
-        columns.append(column.alias(name))
+            columns.append(F.col(name))
     return frame.select(
         *columns, F.array(*malformed).alias(MALFORMED), F.array(*outside).alias(OUT_OF_RANGE)
     )

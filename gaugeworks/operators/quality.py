@@ -96,7 +96,9 @@ def detect_flatlines(sliced: SlicedRows, thresholds: Mapping[str, int]) -> DataF
         F.count(F.lit(1)).alias("readings"),
         F.min("value").alias("value"),
     )
-    return _long_enough(_joined_stretches(pieces, sliced.keys), thresholds)
+    return _long_enough(_joined_stretches(pieces, sliced.keys, thresholds), thresholds).select(
+        STATION, DEVICE, "column", "start_time", "end_time", "duration_minutes", "value"
+    )
 
 
 def _breaks(name: str) -> Column:
@@ -142,26 +144,26 @@ def _per_sensor(
     return rows.select(*keep, *also, F.inline(F.array(*entries)))
 
 
-def _joined_stretches(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _joined_stretches(
+    pieces: DataFrame, keys: Sequence[str], thresholds: Mapping[str, int]
+) -> DataFrame:
     """Put stretches together that a slice boundary cut in two.
 
     Only a slice's last stretch can go on in a later slice, and only stretch 0 (readings before the
-    slice's first break) can be such a continuation: at most two rows per slice take part.
+    slice's first break) can be such a continuation. All others are complete and matter only if they
+    are long enough. What is left to order per series is bounded by its calendar time, not its readings.
     """
     series = [*keys, "column"]
-    in_slice = Window.partitionBy(*keys, SLICE, "column")
-    pieces = pieces.withColumn("_last", F.col("stretch") == F.max("stretch").over(in_slice))
-    open_ended = F.col("_last") | (F.col("stretch") == 0)
-    facts = ["start_time", "end_time", "readings", "value"]
-    whole = pieces.filter(~open_ended).select(*series, *facts)
+    last = F.max("stretch").over(Window.partitionBy(*keys, SLICE, "column"))
+    open_ended = (F.col("stretch") == 0) | (F.col("stretch") == F.col("_last"))
+    left = pieces.withColumn("_last", last).filter(open_ended | _is_long(thresholds))
 
     along = Window.partitionBy(*series).orderBy(SLICE, "stretch")
     started = F.sum((F.col("stretch") > 0).cast("bigint")).over(
         along.rowsBetween(Window.unboundedPreceding, 0)
     )
-    merged = (
-        pieces.filter(open_ended)
-        .withColumn("_run", started)
+    return (
+        left.withColumn("_run", started)
         .groupBy(*series, "_run")
         .agg(
             F.min("start_time").alias("start_time"),
@@ -169,21 +171,22 @@ def _joined_stretches(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sum("readings").alias("readings"),
             F.min("value").alias("value"),
         )
-        .select(*series, *facts)
     )
-    return whole.unionByName(merged)
 
 
-def _long_enough(stretches: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
+def _is_long(thresholds: Mapping[str, int]) -> Column:
     limits = F.create_map(
         *[F.lit(item) for name, minutes in thresholds.items() for item in (name, float(minutes))]
     )
-    minutes = (micros("end_time") - micros("start_time")).cast("double") / float(MINUTE_US)
-    return (
-        stretches.withColumn("duration_minutes", minutes)
-        .filter((F.col("readings") >= 2) & (F.col("duration_minutes") >= limits[F.col("column")]))
-        .select(STATION, DEVICE, "column", "start_time", "end_time", "duration_minutes", "value")
-    )
+    return (F.col("readings") >= 2) & (_duration_minutes() >= limits[F.col("column")])
+
+
+def _duration_minutes() -> Column:
+    return (micros("end_time") - micros("start_time")).cast("double") / float(MINUTE_US)
+
+
+def _long_enough(stretches: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
+    return stretches.filter(_is_long(thresholds)).withColumn("duration_minutes", _duration_minutes())
 
 
 def warning_texts(out_of_range_total: Column, gaps: Column, flatlines: Column) -> Column:

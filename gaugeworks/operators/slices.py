@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.timegrid import DAY_US, floor_to_step, micros
-from gaugeworks.session import shared_folder
+from gaugeworks.session import planned_ahead, shared_folder
 
 SLICE = "_slice"
 # A calendar piece is cut further above this many rows; some 100 MB of readings.
@@ -26,6 +26,8 @@ MAX_SLICE_ROWS = 1_000_000
 _RANGES = 1 << 20
 # Crowded pieces are few: each holds more than MAX_SLICE_ROWS rows, so 10^12 rows give under 10^6.
 _BROADCAST_PIECES = 1_000_000
+# Keys whose one row each is sent to every task; some 100 MB.
+_BROADCAST_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,7 @@ class SlicedRows:
     rows: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    row_count: int | None = None
 
     @property
     def within(self) -> list[str]:
@@ -63,19 +66,18 @@ def slice_rows(
     keys, order = tuple(keys), tuple(order)
     piece = F.expr(f"unix_micros({order[0]}) div {width_us}")
     frame = frame.withColumn(SLICE, piece * _RANGES)
-    crowded = (
-        frame.groupBy(*keys, SLICE)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_rows)
-        .drop("_rows")
-    )
-    if crowded.isEmpty():
-        return SlicedRows(frame, keys, order)
-
+    counted = frame.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    row_count, pieces = counted.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(F.col("_rows") > max_rows)
+    ).first()
+    if pieces == 0:
+        return SlicedRows(frame, keys, order, row_count)
+
+    crowded = counted.filter(F.col("_rows") > max_rows).drop("_rows")
     shared_folder(frame.sparkSession)
     crowded = crowded.checkpoint()
     within = [*keys, SLICE]
-    if crowded.count() <= _BROADCAST_PIECES:
+    if pieces <= _BROADCAST_PIECES:
         crowded = F.broadcast(crowded)
     calm = frame.join(crowded, within, "left_anti")
     # The last range column tells exact copies apart; they are interchangeable, so any order will do.
@@ -88,7 +90,7 @@ def slice_rows(
         .drop("_copy")
         .checkpoint()
     )
-    return SlicedRows(calm.unionByName(ranged), keys, order)
+    return SlicedRows(calm.unionByName(ranged), keys, order, row_count)
 
 
 def slice_grid(
@@ -154,9 +156,11 @@ def neighbours(
             ],
         )
 
-    joined = local.join(carried("before", "_closes", before_slice), within)
+    # Left joins, though every row finds its slice: an inner join would add null checks to one use of
+    # the rows only, and the two uses would no longer share one shuffle.
+    joined = local.join(carried("before", "_closes", before_slice), within, "left")
     if following:
-        joined = joined.join(carried("after", "_opens", after_slice), within)
+        joined = joined.join(carried("after", "_opens", after_slice), within, "left")
     sides = ["before", "after"] if following else ["before"]
     return joined.select(
         *sliced.rows.columns,
@@ -169,11 +173,16 @@ def neighbours(
 
 
 def attach_per_key(sliced: SlicedRows, rows: DataFrame, per_key: DataFrame) -> DataFrame:
-    """Join one row per key onto all rows of that key.
+    """Join one row per key onto all rows of that key, wherever the rows are.
 
-    The small side is first spread over the key's slices, so the large side keeps its partitioning by
-    (key, slice) and a large key stays spread out.
+    The table is written down first: it is small next to the rows, and its size decides the join. Up to
+    ``_BROADCAST_KEYS`` keys it goes to every task. Beyond, it is spread over each key's slices, so that
+    the rows keep their partitioning by (key, slice) and a large key stays spread out.
     """
+    shared_folder(rows.sparkSession)
+    per_key = per_key.checkpoint()
+    if per_key.count() <= _BROADCAST_KEYS:
+        return rows.join(F.broadcast(per_key), list(sliced.keys), "left")
     spread = sliced.rows.select(*sliced.within).distinct().join(per_key, list(sliced.keys))
     return rows.join(spread, sliced.within, "left")
 
@@ -181,10 +190,17 @@ def attach_per_key(sliced: SlicedRows, rows: DataFrame, per_key: DataFrame) -> D
 def gather(sliced: SlicedRows) -> SlicedRows:
     """Write the rows down once, laid out by (key, slice) and sorted, for several ordered operators.
 
-    What reads the result finds the layout it needs and neither shuffles nor sorts again.
+    What reads the result finds the layout it needs and neither shuffles nor sorts again. Slices are
+    small, so hashing them gives even partitions; there are as many as the counted rows ask for.
     """
-    shared_folder(sliced.rows.sparkSession)
-    laid_out = sliced.rows.repartition(*sliced.within).sortWithinPartitions(
-        *sliced.within, *sliced.order
-    )
-    return replace(sliced, rows=laid_out.checkpoint())
+    spark = sliced.rows.sparkSession
+    shared_folder(spark)
+    with planned_ahead(spark):
+        partitions = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            -(-(sliced.row_count or 0) // MAX_SLICE_ROWS),
+        )
+        laid_out = sliced.rows.repartition(partitions, *sliced.within).sortWithinPartitions(
+            *sliced.within, *sliced.order
+        )
+        return replace(sliced, rows=laid_out.checkpoint())
