@@ -40,53 +40,57 @@ def parse_events(raw: DataFrame, contract: Contract) -> DataFrame:
     Text fields must be JSON strings and the optional fields JSON objects; a number in a text field is
     a structural error. Sensor values that are not numbers become null and are no error.
     """
+    fields = ", ".join(f"{name} variant" for name in (*TEXT_FIELDS, *OBJECT_FIELDS))
+    is_object = F.ltrim(PAYLOAD).startswith("{")
+    parsed = F.from_json(F.when(is_object, F.col(PAYLOAD)), fields)
     # Through a one-element array, so that filters on parsed fields do not repeat the parsing.
-    document = raw.select("*", F.explode(F.array(F.try_parse_json(PAYLOAD))).alias("_doc"))
+    suffixed = F.col(PAYLOAD).rlike(r'[0-9.][dDfF]\s*"').alias("_suffixed")
+    document = raw.select(*raw.columns, suffixed, F.explode(F.array(parsed)).alias("_doc"))
+    typed = document.select(
+        *raw.columns,
+        *[_field(name).try_cast("string").alias(name) for name in TEXT_FIELDS],
+        *[_json_type(name).alias(f"_{name}_type") for name in (*TEXT_FIELDS, *OBJECT_FIELDS)],
+        *[_sensor_value(name).alias(name) for name in contract.numeric_names()],
+    )
     faults = [
-        F.when(~F.coalesce(_json_type(name) == "STRING", F.lit(False)), F.lit(name))
+        F.when(~F.coalesce(F.col(f"_{name}_type") == "STRING", F.lit(False)), F.lit(name))
         for name in TEXT_FIELDS
     ] + [
-        F.when(~F.coalesce(_json_type(name).startswith("OBJECT"), F.lit(True)), F.lit(name))
+        F.when(~F.coalesce(F.col(f"_{name}_type").startswith("OBJECT"), F.lit(True)), F.lit(name))
         for name in OBJECT_FIELDS
     ]
-    checked = document.select(
+    has_time = F.col("_timestamp_type") == "STRING"
+    checked = typed.select(
         *raw.columns,
-        "_doc",
-        F.concat_ws(", ", *faults).alias("_faults"),
-        F.when(_json_type("timestamp") == "STRING", timestamp_from_text(_text("timestamp"))).alias(
-            "event_time"
-        ),
+        F.concat_ws(", ", *faults).alias("faults"),
+        *TEXT_FIELDS,
+        F.when(has_time, timestamp_from_text(F.col("timestamp"))).alias("event_time"),
+        *contract.numeric_names(),
     )
     stage = (
-        F.when(F.col("_faults") != "", BROKEN)
-        .when(_text("event_type") != EVENT_TYPE, OTHER_TYPE)
+        F.when(F.col("faults") != "", BROKEN)
+        .when(F.col("event_type") != EVENT_TYPE, OTHER_TYPE)
         .when(F.col("event_time").isNull(), NO_TIME)
         .otherwise(GOOD)
     )
-    return checked.select(
-        *raw.columns,
-        stage.alias(STAGE),
-        F.col("_faults").alias("faults"),
-        *[_text(name).alias(name) for name in TEXT_FIELDS],
-        "event_time",
-        *[_sensor_value(name).alias(name) for name in contract.numeric_names()],
-    )
+    return checked.select(*raw.columns, stage.alias(STAGE), *checked.columns[len(raw.columns) :])
 
 
-def _json_type(name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.col("_doc"), f"$.{name}", "variant"))
+def _field(name: str) -> Column:
+    return F.col("_doc")[name]
 
 
-def _text(name: str) -> Column:
-    return F.try_variant_get(F.col("_doc"), f"$.{name}", "string")
+def _json_type(name: str) -> Column:
+    return F.schema_of_variant(_field(name))
 
 
 def _sensor_value(name: str) -> Column:
-    path = f"$.readings.{name}"
-    text = F.try_variant_get(F.col("_doc"), path, "string")
-    return F.when(
-        ~text.rlike(r"[0-9.][dDfF]\s*$"), F.try_variant_get(F.col("_doc"), path, "double")
-    )
+    """A number, or text or a truth value that reads as one."""
+    path = f"$.{name}"
+    number = F.try_variant_get(_field("readings"), path, "double")
+    text = F.try_variant_get(_field("readings"), path, "string")
+    # Spark reads a Java number suffix, see functions.coerce; the text matters only where one occurs.
+    return F.when(F.col("_suffixed") & text.rlike(r"[0-9.][dDfF]\s*$"), None).otherwise(number)
 
 
 def first_accepted(parsed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.timegrid import DAY_US, floor_to_step, micros
-from gaugeworks.session import planned_ahead, shared_folder
+from gaugeworks.session import planned_ahead, write_down
 
 SLICE = "_slice"
 # A calendar piece is cut further above this many rows; some 100 MB of readings.
@@ -74,21 +74,19 @@ def slice_rows(
         return SlicedRows(frame, keys, order, row_count)
 
     crowded = counted.filter(F.col("_rows") > max_rows).drop("_rows")
-    shared_folder(frame.sparkSession)
-    crowded = crowded.checkpoint()
+    crowded = write_down(crowded)
     within = [*keys, SLICE]
     if pieces <= _BROADCAST_PIECES:
         crowded = F.broadcast(crowded)
     calm = frame.join(crowded, within, "left_anti")
     # The last range column tells exact copies apart; they are interchangeable, so any order will do.
     # The checkpoint fixes range numbers before anything reads them twice.
-    ranged = (
+    ranged = write_down(
         frame.join(crowded, within, "left_semi")
         .withColumn("_copy", F.monotonically_increasing_id())
         .repartitionByRange(*keys, *order, "_copy")
         .withColumn(SLICE, F.col(SLICE) + F.spark_partition_id())
         .drop("_copy")
-        .checkpoint()
     )
     return SlicedRows(calm.unionByName(ranged), keys, order, row_count)
 
@@ -179,8 +177,7 @@ def attach_per_key(sliced: SlicedRows, rows: DataFrame, per_key: DataFrame) -> D
     ``_BROADCAST_KEYS`` keys it goes to every task. Beyond, it is spread over each key's slices, so that
     the rows keep their partitioning by (key, slice) and a large key stays spread out.
     """
-    shared_folder(rows.sparkSession)
-    per_key = per_key.checkpoint()
+    per_key = write_down(per_key)
     if per_key.count() <= _BROADCAST_KEYS:
         return rows.join(F.broadcast(per_key), list(sliced.keys), "left")
     spread = sliced.rows.select(*sliced.within).distinct().join(per_key, list(sliced.keys))
@@ -194,7 +191,6 @@ def gather(sliced: SlicedRows) -> SlicedRows:
     small, so hashing them gives even partitions; there are as many as the counted rows ask for.
     """
     spark = sliced.rows.sparkSession
-    shared_folder(spark)
     with planned_ahead(spark):
         partitions = max(
             int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -203,4 +199,4 @@ def gather(sliced: SlicedRows) -> SlicedRows:
         laid_out = sliced.rows.repartition(partitions, *sliced.within).sortWithinPartitions(
             *sliced.within, *sliced.order
         )
-        return replace(sliced, rows=laid_out.checkpoint())
+        return replace(sliced, rows=write_down(laid_out))

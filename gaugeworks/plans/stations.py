@@ -33,7 +33,7 @@ from gaugeworks.operators.quality import (
 )
 from gaugeworks.operators.resample import resample_mean
 from gaugeworks.operators.slices import gather
-from gaugeworks.session import prepare_session, shared_folder
+from gaugeworks.session import prepare_session, write_down
 from gaugeworks.sources.metric_store import MetricStore
 from gaugeworks.sources.readings import scan_readings, with_station_metadata
 
@@ -94,7 +94,6 @@ def process_stations(
     options = options or ProcessingOptions()
     contract = contract or default_contract()
     spark = prepare_session(readings.sparkSession)
-    shared_folder(spark)
     sensors = contract.numeric_names()
     scanned = scan_readings(
         readings,
@@ -105,7 +104,7 @@ def process_stations(
     )
     normalized = normalize(scanned, contract)
     # One row per station and, below, one row per device: small, and read by every report.
-    counts = station_counts(normalized, contract).checkpoint()
+    counts = write_down(station_counts(normalized, contract))
     quality_frame = normalized.drop(MALFORMED, OUT_OF_RANGE)
     sliced = gather(slice_readings(quality_frame, sensors))
 
@@ -115,7 +114,9 @@ def process_stations(
     )
     cleaned = apply_strategy(sliced.rows, sensors, options.missing_strategy, sliced)
     resampled = resample_mean(cleaned, options.resample_frequency, sensors)
-    per_device = device_metrics_wide(resampled, options.resample_frequency, thresholds).checkpoint()
+    per_device = write_down(
+        device_metrics_wide(resampled, options.resample_frequency, thresholds)
+    )
 
     stations = _with_findings(_station_rows(spark, options, counts), gaps, flatlines, per_device)
     stations = stations.withColumn("run_status", run_status(options))

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "gaugeworks", **settings: str) -> SparkSession:
@@ -47,6 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+def write_down(frame: DataFrame) -> DataFrame:
+    """Compute a table once into the shared folder; what follows starts from there."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
 @contextmanager
 def planned_ahead(spark: SparkSession) -> Iterator[None]:
     """Plan without run-time changes, so that a checkpoint remembers how its rows are laid out."""

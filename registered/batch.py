@@ -32,6 +32,7 @@ from gaugeworks.operators.resample import resample_mean
 from gaugeworks.plans.reports import metrics_snapshot, quality_findings_text, snapshot_rows, station_summary_input
 from gaugeworks.plans.stations import ProcessedStations, process_stations
 from gaugeworks.plans.structured import run_structured_queries, run_structured_query
+from gaugeworks.session import write_down
 from gaugeworks.sources.metric_store import query_metrics, upsert_metrics
 from gaugeworks.sources.readings import scan_readings, with_station_metadata
 from registered import sql
@@ -257,7 +258,7 @@ def metric_requests(metrics: DataFrame) -> DataFrame:
 
 
 def metric_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = daily_metrics(spark, sf_dir)
+    metrics = write_down(daily_metrics(spark, sf_dir))
     return comparable(run_structured_queries(metrics, metric_requests(metrics)), 4)
 
 

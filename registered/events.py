@@ -24,7 +24,7 @@ from gaugeworks.operators.events import (
     retain_latest_buckets,
     retain_latest_ids,
 )
-from gaugeworks.session import shared_folder
+from gaugeworks.session import shared_folder, write_down
 from gaugeworks.sources.events import read_event_stream
 from gaugeworks.streaming.exact import EventTables, start_exact
 from gaugeworks.streaming.windowed import windowed_aggregates
@@ -39,16 +39,21 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_events(raw_events(spark, sf_dir), CONTRACT)
 
 
+def _parsed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For what looks at the events several times: the JSON is parsed once."""
+    return write_down(_parsed(spark, sf_dir))
+
+
 def event_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_events(_parsed(spark, sf_dir)).select("arrival_seq", "event_id", "outcome")
+    return classify_events(_parsed_once(spark, sf_dir)).select("arrival_seq", "event_id", "outcome")
 
 
 def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(event_status(_parsed(spark, sf_dir)))
+    return comparable(event_status(_parsed_once(spark, sf_dir)))
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dead_letters(rejected_events(_parsed(spark, sf_dir)))
+    return dead_letters(rejected_events(_parsed_once(spark, sf_dir)))
 
 
 def dead_letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
