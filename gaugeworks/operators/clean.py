@@ -62,20 +62,30 @@ def interpolate(sliced: SlicedRows, sensors: Sequence[str]) -> DataFrame:
 
     Nulls before the first known value stay; nulls after the last one take it.
     """
-    known = {
-        name: F.when(F.col(name).isNotNull(), F.struct(micros(TIME).alias("t"), F.col(name).alias("v")))
-        for name in sensors
-    }
-    rows = neighbours(sliced, known, following=True)
+    rows = neighbours(sliced, known_points(sensors), following=True)
     return _with_columns(sliced, rows, {name: _linear(name) for name in sensors})
 
 
 def _linear(name: str) -> Column:
-    before, after = F.col(f"{name}_before"), F.col(f"{name}_after")
-    span = after["t"] - before["t"]
+    at, value = F.col(f"{name}_at_before"), F.col(f"{name}_before")
+    span = (F.col(f"{name}_at_after") - at).cast("double")
     # No later value, or both neighbours at the same instant: no slope, keep the earlier value.
-    slope = F.coalesce(F.try_divide(after["v"] - before["v"], span.cast("double")), F.lit(0.0))
-    return F.coalesce(F.col(name), before["v"] + slope * (micros(TIME) - before["t"]))
+    slope = F.coalesce(F.try_divide(F.col(f"{name}_after") - value, span), F.lit(0.0))
+    return F.coalesce(F.col(name), value + slope * (micros(TIME) - at))
+
+
+def known_points(sensors: Sequence[str]) -> dict[str, Column]:
+    """Each sensor's value under its own name, and when it was read under ``<name>_at``."""
+    points = {}
+    for name in sensors:
+        points[name] = F.col(name)
+        points[f"{name}_at"] = known_time(name)
+    return points
+
+
+def known_time(name: str) -> Column:
+    """The time of a reading in microseconds, where it has a value for the sensor."""
+    return F.when(F.col(name).isNotNull(), micros(TIME))
 
 
 def apply_strategy(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.contract import Contract
 from gaugeworks.functions.timegrid import MINUTE_US, micros
+from gaugeworks.operators.clean import known_points, known_time
 from gaugeworks.operators.normalize import DEVICE, STATION, TIME
 from gaugeworks.operators.slices import SLICE, SlicedRows, attach_per_key, neighbours
 
@@ -66,13 +67,9 @@ def detect_flatlines(sliced: SlicedRows, thresholds: Mapping[str, int]) -> DataF
     shuffled once and never multiplied before they are reduced to stretches.
     """
     sensors = list(thresholds)
-    known = {
-        name: F.when(F.col(name).isNotNull(), F.struct(micros(TIME).alias("t"), F.col(name).alias("v")))
-        for name in sensors
-    }
-    rows = neighbours(sliced.select(*sensors), known)
-    intervals = _sensor_intervals(rows, sliced, sensors)
-    rows = attach_per_key(sliced, rows, intervals)
+    narrow = sliced.select(*sensors)
+    rows = neighbours(narrow, known_points(sensors))
+    rows = attach_per_key(sliced, rows, _sensor_intervals(narrow, sensors))
 
     within = sliced.within
     ordered = Window.partitionBy(*within).orderBy(*sliced.order)
@@ -104,20 +101,17 @@ def detect_flatlines(sliced: SlicedRows, thresholds: Mapping[str, int]) -> DataF
 def _breaks(name: str) -> Column:
     """Whether a reading of this sensor starts a new stretch; a missing one never does."""
     value, before = F.col(name), F.col(f"{name}_before")
-    pause = micros(TIME) - before["t"]
+    pause = micros(TIME) - F.col(f"{name}_at_before")
     # pause > 1.5 * expected, in whole microseconds; without an expected interval no pause is long.
     paused = F.coalesce(pause * 2 > F.col(f"{name}_expected") * 3, F.lit(False))
-    return value.isNotNull() & (before.isNull() | (value != before["v"]) | paused)
+    return value.isNotNull() & (before.isNull() | (value != before) | paused)
 
 
-def _sensor_intervals(rows: DataFrame, sliced: SlicedRows, sensors: Sequence[str]) -> DataFrame:
+def _sensor_intervals(sliced: SlicedRows, sensors: Sequence[str]) -> DataFrame:
     """One row per device with the expected interval of each sensor's own non-null series."""
+    rows = neighbours(sliced, {name: known_time(name) for name in sensors})
     steps = rows.select(
-        *sliced.keys,
-        *[
-            F.when(F.col(name).isNotNull(), micros(TIME) - F.col(f"{name}_before")["t"]).alias(name)
-            for name in sensors
-        ],
+        *sliced.keys, *[(known_time(name) - F.col(f"{name}_before")).alias(name) for name in sensors]
     )
     keys = list(sliced.keys)
     long = _per_sensor(steps, keys, sensors, {"step_us": "{}"})

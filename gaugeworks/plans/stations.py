@@ -47,7 +47,7 @@ class StationRunError(RuntimeError):
 
 @dataclass(frozen=True)
 class ProcessedStations:
-    """Results of a run as lazy DataFrames.
+    """Results of a run, computed and written down in the shared folder.
 
     Gaps and flatlines stay tables of one row per finding: a single station may have more of them than
     fit into one record.
@@ -103,17 +103,16 @@ def process_stations(
         contract=contract,
     )
     normalized = normalize(scanned, contract)
-    # One row per station and, below, one row per device: small, and read by every report.
     counts = write_down(station_counts(normalized, contract))
     quality_frame = normalized.drop(MALFORMED, OUT_OF_RANGE)
     sliced = gather(slice_readings(quality_frame, sensors))
 
-    gaps = detect_gaps(sliced)
-    flatlines = detect_flatlines(
-        sliced, flatline_thresholds(contract, options.flatline_window_minutes)
-    )
+    # The results of a run, each read by the summary and by whoever asked for them.
+    gaps = write_down(detect_gaps(sliced))
+    thresholds_minutes = flatline_thresholds(contract, options.flatline_window_minutes)
+    flatlines = write_down(detect_flatlines(sliced, thresholds_minutes))
     cleaned = apply_strategy(sliced.rows, sensors, options.missing_strategy, sliced)
-    resampled = resample_mean(cleaned, options.resample_frequency, sensors)
+    resampled = write_down(resample_mean(cleaned, options.resample_frequency, sensors))
     per_device = write_down(
         device_metrics_wide(resampled, options.resample_frequency, thresholds)
     )
