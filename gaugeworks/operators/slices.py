@@ -67,13 +67,14 @@ def slice_rows(
     piece = F.expr(f"unix_micros({order[0]}) div {width_us}")
     frame = frame.withColumn(SLICE, piece * _RANGES)
     counted = frame.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
-    row_count, pieces = counted.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(F.col("_rows") > max_rows)
+    too_many = F.col("_rows") > max_rows
+    row_count, pieces, crowded_rows = counted.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(too_many), F.sum(F.when(too_many, F.col("_rows")))
     ).first()
     if pieces == 0:
         return SlicedRows(frame, keys, order, row_count)
 
-    crowded = counted.filter(F.col("_rows") > max_rows).drop("_rows")
+    crowded = counted.filter(too_many).drop("_rows")
     crowded = write_down(crowded)
     within = [*keys, SLICE]
     if pieces <= _BROADCAST_PIECES:
@@ -84,7 +85,7 @@ def slice_rows(
     ranged = write_down(
         frame.join(crowded, within, "left_semi")
         .withColumn("_copy", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, *order, "_copy")
+        .repartitionByRange(-(-crowded_rows // max_rows) + 1, *keys, *order, "_copy")
         .withColumn(SLICE, F.col(SLICE) + F.spark_partition_id())
         .drop("_copy")
     )
