@@ -73,28 +73,47 @@ def detect_flatlines(sliced: SlicedRows, thresholds: Mapping[str, int]) -> DataF
 
     within = sliced.within
     ordered = Window.partitionBy(*within).orderBy(*sliced.order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select(
         *within,
-        *sliced.order[:1],
+        TIME,
         *sensors,
         *[
-            F.sum(_breaks(name).cast("bigint"))
-            .over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-            .alias(f"{name}_stretch")
+            F.when(F.col(name).isNotNull() & ~_breaks(name), F.col(f"{name}_at_before")).alias(
+                f"{name}_since"
+            )
             for name in sensors
         ],
+        *[
+            F.sum(_breaks(name).cast("bigint")).over(so_far).alias(f"{name}_stretch")
+            for name in sensors
+        ],
+        F.lead(F.lit(True)).over(ordered).isNull().alias("_closes"),
     )
-    stretches = _per_sensor(
-        rows, within, sensors, {"value": "{}", "stretch": "{}_stretch"}, TIME
-    ).filter(F.col("value").isNotNull())
-    pieces = stretches.groupBy(*within, "column", "stretch").agg(
-        F.min(TIME).alias("start_time"),
-        F.max(TIME).alias("end_time"),
-        F.count(F.lit(1)).alias("readings"),
-        F.min("value").alias("value"),
+    # Only readings that repeat the one before go on, each knowing when that one was read, and the last
+    # row of a slice, which tells how many stretches it had. Stretches of a single reading, most of them
+    # in a live signal, never reach the aggregation.
+    fields = {"value": "{}", "since_us": "{}_since", "stretch": "{}_stretch"}
+    repeats = F.col("since_us").isNotNull()
+    pieces = (
+        _per_sensor(rows, within, sensors, fields, TIME, "_closes")
+        .filter(repeats | F.col("_closes"))
+        .groupBy(*within, "column", "stretch")
+        .agg(
+            F.min("since_us").alias("start_us"),
+            F.max(F.when(repeats, micros(TIME))).alias("end_us"),
+            F.min(F.when(repeats, F.col("value"))).alias("value"),
+        )
     )
-    return _long_enough(_joined_stretches(pieces, sliced.keys, thresholds), thresholds).select(
-        STATION, DEVICE, "column", "start_time", "end_time", "duration_minutes", "value"
+    stretches = _joined_stretches(pieces, sliced.keys, thresholds).filter(_is_long(thresholds))
+    return stretches.select(
+        STATION,
+        DEVICE,
+        "column",
+        F.timestamp_micros("start_us").alias("start_time"),
+        F.timestamp_micros("end_us").alias("end_time"),
+        _duration_minutes().alias("duration_minutes"),
+        "value",
     )
 
 
@@ -160,9 +179,8 @@ def _joined_stretches(
         left.withColumn("_run", started)
         .groupBy(*series, "_run")
         .agg(
-            F.min("start_time").alias("start_time"),
-            F.max("end_time").alias("end_time"),
-            F.sum("readings").alias("readings"),
+            F.min("start_us").alias("start_us"),
+            F.max("end_us").alias("end_us"),
             F.min("value").alias("value"),
         )
     )
@@ -172,15 +190,11 @@ def _is_long(thresholds: Mapping[str, int]) -> Column:
     limits = F.create_map(
         *[F.lit(item) for name, minutes in thresholds.items() for item in (name, float(minutes))]
     )
-    return (F.col("readings") >= 2) & (_duration_minutes() >= limits[F.col("column")])
+    return _duration_minutes() >= limits[F.col("column")]
 
 
 def _duration_minutes() -> Column:
-    return (micros("end_time") - micros("start_time")).cast("double") / float(MINUTE_US)
-
-
-def _long_enough(stretches: DataFrame, thresholds: Mapping[str, int]) -> DataFrame:
-    return stretches.filter(_is_long(thresholds)).withColumn("duration_minutes", _duration_minutes())
+    return (F.col("end_us") - F.col("start_us")).cast("double") / float(MINUTE_US)
 
 
 def warning_texts(out_of_range_total: Column, gaps: Column, flatlines: Column) -> Column:

@@ -80,3 +80,12 @@ def test_longer_threshold_of_a_sensor(spark, contract):
     assert flatlines(frame, contract) == []
     frame = typed(spark, [{"minute": m, "motor_speed": 100} for m in (0, 20, 40, 60)])
     assert len(flatlines(frame, contract)) == 1
+
+
+@pytest.mark.parametrize("limits", [*LIMITS, {"max_rows": 1}])
+def test_equal_times_do_not_join_flatlines(spark, contract, limits):
+    # At minute 20 the value leaves 7.5 and returns; the order of equal times decides, not the time.
+    minutes = [0, 10, 20, 20, 20, 30, 40, 50, 60]
+    values = [7.5, 7.5, 7.5, 3.0, 7.5, 7.5, 7.5, 7.5, 7.5]
+    found = flatlines(series(spark, minutes, values), contract, **limits)
+    assert [(row[2], row[3]) for row in found] == [(at(20), at(60))]
