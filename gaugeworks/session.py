@@ -16,7 +16,8 @@ def build_session(app_name: str = "gaugeworks", **settings: str) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Tables written down for a run go away with the DataFrames that read them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for name, value in settings.items():
         builder = builder.config(name.replace("_", "."), value)
