@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, simhash, token_counts
+from gaugeworks.llm import bpe, quality, simhash, token_counts, token_store
 from gaugeworks.llm.common import table
 
 
@@ -27,12 +27,22 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.store_and_read_back(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2)
+
+
+def op6_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
         op1_simhash_near_duplicates,
         op3_bpe_round_trip,
         op4_token_counts,
+        op5_token_files,
+        op6_quality_scores,
     )
 }
 ORACLES: dict[str, str] = {}
