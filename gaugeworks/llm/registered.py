@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, quality, simhash, token_counts, token_store
+from gaugeworks.llm import bpe, html_text, quality, simhash, token_counts, token_store, top_k, url_filter
 from gaugeworks.llm.common import table
 
 
@@ -35,6 +35,18 @@ def op6_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.search(table(spark, folder, "embeddings"))
+
+
+def op9_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -43,6 +55,12 @@ QUERIES = {
         op4_token_counts,
         op5_token_files,
         op6_quality_scores,
+        op8_top_inner_products,
+        op9_url_verdicts,
+        op10_main_text,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_top_inner_products": top_k.oracle(),
+    "op9_url_verdicts": url_filter.oracle(),
+}
