@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, html_text, quality, simhash, token_counts, token_store, top_k, url_filter
+from gaugeworks.llm import bpe, decontaminate, html_text, quality, simhash, token_counts, token_store, top_k, url_filter
 from gaugeworks.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_benchmark_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_top_inner_products(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.search(table(spark, folder, "embeddings"))
 
@@ -55,6 +59,7 @@ QUERIES = {
         op4_token_counts,
         op5_token_files,
         op6_quality_scores,
+        op7_benchmark_copies,
         op8_top_inner_products,
         op9_url_verdicts,
         op10_main_text,
