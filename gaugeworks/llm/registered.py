@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, decontaminate, html_text, quality, simhash, token_counts, token_store, top_k, url_filter
-from gaugeworks.llm.common import table
-
-
-def vocabulary(name: str) -> str:
-    """Where a public vocabulary file lies."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from gaugeworks.llm import bpe, decontaminate, html_text, pii, quality, simhash, token_counts, token_store, top_k, url_filter
+from gaugeworks.llm.common import table, vocabulary
 
 
 def op1_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.digests(pii.find(documents, pii.fit(documents)))
+
+
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -55,6 +54,7 @@ QUERIES = {
     run.__name__: run
     for run in (
         op1_simhash_near_duplicates,
+        op2_personal_data,
         op3_bpe_round_trip,
         op4_token_counts,
         op5_token_files,
@@ -64,7 +64,7 @@ QUERIES = {
         op9_url_verdicts,
         op10_main_text,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op8_top_inner_products": top_k.oracle(),
     "op9_url_verdicts": url_filter.oracle(),
