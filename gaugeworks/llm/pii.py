@@ -70,7 +70,7 @@ def _labelled(texts: list[str], windows: int, seed: int = 11) -> tuple[np.ndarra
     random = np.random.default_rng(seed)
     ids = np.zeros((windows, pii_model.WINDOW), np.int64)
     tags = np.zeros((windows, pii_model.WINDOW), np.int64)
-    words = [word for text in texts for word in text[:20_000].split() if not pii_rules.may_hold_any(word)] or ["and", "the"]
+    words = [word for text in texts for word in text.split() if not pii_rules.may_hold_any(word)] or ["and", "the"]
     examples: list[tuple[str, str | None]] = []
     real = [(text, spans) for text in texts if (spans := pii_rules.candidates(text))]
     for row in range(windows):
@@ -111,8 +111,10 @@ def _labelled(texts: list[str], windows: int, seed: int = 11) -> tuple[np.ndarra
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, windows: int = WINDOWS, rounds: int = ROUNDS) -> dict:
     """Train on ``windows`` windows from at most ``sample`` documents that hold a digit or an at sign, chosen by a hash of
-    their text; of each, the first 20,000 characters are learned from. Without any document the written variants alone teach."""
-    some = docs.where(F.col(text).rlike("[0-9@]")).select(F.substring(text, 1, 20_000).alias("t"))
+    their text; of each, 4,000 characters around its first sign are learned from. Without any document the written variants alone teach."""
+    sign = F.regexp_instr(F.col(text), F.lit("[0-9@]"))
+    around = F.substring(F.col(text), F.greatest(sign - 1000, F.lit(1)), F.lit(4000))
+    some = docs.where(sign > 0).select(around.alias("t"))
     chosen = some.orderBy(F.xxhash64("t"), "t").limit(sample)
     # One task trains, on the bounded sample; a row of its own makes sure that there is one.
     one = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("t"))
