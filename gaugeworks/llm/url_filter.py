@@ -5,7 +5,7 @@ wildcard if it is variable (the node has many values with few rows each, or this
 if its branch is statistically like the node as a whole: its share of blocked rows, among rows that a rule
 judges, differs by two standard errors at most. Branches without judged rows cannot be compared and stay by themselves.
 A template is rejected if its smoothed purity, the share of blocked among judged rows with ``PRIOR_ROWS`` rows of the
-overall share added, is high enough. Segments beyond ``DEPTH`` are one wildcard.
+overall share, half at most, added, is high enough. Segments beyond ``DEPTH`` are one wildcard.
 
 Tables are reduced to distinct paths before they move, and the joins of a host's many paths are spread by salt.
 """
@@ -119,7 +119,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str
     paths = ruled.groupBy("host", "path").agg(F.count("*").alias("n"), *verdicts)
     templates = write_down(path_templates(paths))
     total = templates.agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a")).first()
-    share = (total["b"] or 0) / max((total["b"] or 0) + (total["a"] or 0), 1)
+    # At most half: where no rule has judged anything, a template is not rejected.
+    share = min((total["b"] or 0) / max((total["b"] or 0) + (total["a"] or 0), 1), 0.5)
     purity = (F.sum("blocked") + PRIOR_ROWS * share) / (F.sum("blocked") + F.sum("allowed") + PRIOR_ROWS)
     rejected = templates.groupBy("host", "template").agg(purity.alias("purity")).where(F.col("purity") >= REJECT_FROM)
     # Rules depend on host and path alone: only paths that no rule fits need their template's verdict.
@@ -164,7 +165,7 @@ ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p:
 tree0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(*) FILTER (ruled = 'allow') AS allowed,
   list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM ruled GROUP BY host, path),{levels}
 finished AS (SELECT host, path, blocked, allowed, template || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS template FROM tree{DEPTH}),
-overall AS (SELECT sum(blocked)::DOUBLE / greatest(sum(blocked) + sum(allowed), 1) AS share FROM finished),
+overall AS (SELECT least(sum(blocked)::DOUBLE / greatest(sum(blocked) + sum(allowed), 1), 0.5::DOUBLE) AS share FROM finished),
 rejected AS (SELECT host, template FROM finished, overall GROUP BY host, template, share
   HAVING (sum(blocked) + {PRIOR_ROWS} * share) / (sum(blocked) + sum(allowed) + {PRIOR_ROWS}) >= {REJECT_FROM}),
 bad AS (SELECT f.host, f.path FROM finished f JOIN rejected j ON f.host = j.host AND f.template = j.template WHERE blocked + allowed = 0)
