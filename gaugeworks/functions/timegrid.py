@@ -81,5 +81,5 @@ def shared_grain(step_us: int) -> int:
 def floor_to_bucket(moment: Column, bucket: str) -> Column:
     """The UTC hour or day a moment falls in."""
     if bucket not in BUCKETS:
-        raise ValueError(f"Unknown bucket type: {bucket!r}")
+        raise ValueError(f"buckets are {", ".join(BUCKETS)}, not {bucket!r}")
     return F.date_trunc(bucket, moment)

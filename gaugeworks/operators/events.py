@@ -41,7 +41,7 @@ def parse_events(raw: DataFrame, contract: Contract) -> DataFrame:
     a structural error. Sensor values that are not numbers become null and are no error.
     """
     fields = ", ".join(f"{name} variant" for name in (*TEXT_FIELDS, *OBJECT_FIELDS))
-    is_object = F.ltrim(PAYLOAD).startswith("{")
+    is_object = F.col(PAYLOAD).rlike(r"^\s*\{")
     parsed = F.from_json(F.when(is_object, F.col(PAYLOAD)), fields)
     # Through a one-element array, so that filters on parsed fields do not repeat the parsing.
     suffixed = F.col(PAYLOAD).rlike(r'[0-9.][dDfF]\s*"').alias("_suffixed")
@@ -127,7 +127,7 @@ def classify_events(parsed: DataFrame, seen: DataFrame | None = None) -> DataFra
     """
     firsts = _first_accepted_ever(parsed, seen)
     # Matching on id and arrival together spreads the copies of one id over all partitions.
-    winners = firsts.select(
+    winners = firsts.filter(~F.col("known")).select(
         "event_id", F.col("first_arrival").alias(ARRIVAL), F.lit(True).alias("_first")
     )
     good = (
@@ -156,12 +156,16 @@ def rejected_events(parsed: DataFrame, seen: DataFrame | None = None) -> DataFra
 
 
 def _first_accepted_ever(parsed: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """First accepted arrivals, where ids accepted before this data come before all of it."""
-    firsts = first_accepted(parsed)
+    """First accepted arrivals, and whether the id was ``known`` before all of this data."""
+    firsts = first_accepted(parsed).select("event_id", "first_arrival", F.lit(False).alias("known"))
     if seen is None:
         return firsts
-    known = seen.select("event_id", F.lit(-1).cast("bigint").alias("first_arrival"))
-    return firsts.unionByName(known).groupBy("event_id").agg(F.min("first_arrival").alias("first_arrival"))
+    earlier = seen.select("event_id", F.lit(None).cast(firsts.schema["first_arrival"].dataType).alias("first_arrival"), F.lit(True).alias("known"))
+    return (
+        firsts.unionByName(earlier)
+        .groupBy("event_id")
+        .agg(F.min("first_arrival").alias("first_arrival"), F.bool_or("known").alias("known"))
+    )
 
 
 def _settled(parsed: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ def _untimed_outcomes(parsed: DataFrame, firsts: DataFrame) -> DataFrame:
     untimed = parsed.filter(F.col(STAGE) == NO_TIME).select("*", salt)
     pieces = untimed.select("event_id", "_salt").distinct()
     lookup = pieces.join(firsts, "event_id")
-    repeated = F.col("first_arrival") < F.col(ARRIVAL)
+    repeated = F.col("known") | (F.col("first_arrival") < F.col(ARRIVAL))
     return untimed.join(lookup, ["event_id", "_salt"], "left").withColumn(
         "outcome", F.when(repeated, DUPLICATE).otherwise(INVALID)
     )
@@ -195,13 +199,13 @@ def dead_letters(rejected: DataFrame) -> DataFrame:
     message = (
         F.when(
             F.col(STAGE) == BROKEN,
-            F.concat(F.lit("Event failed structural validation: "), F.col("faults")),
+            F.concat(F.lit("Fields missing or of a wrong kind: "), F.col("faults")),
         )
         .when(
             F.col(STAGE) == OTHER_TYPE,
-            F.format_string(f"Unexpected event_type '%s'; expected '{EVENT_TYPE}'", "event_type"),
+            F.format_string(f"Event type is '%s', not '{EVENT_TYPE}'", "event_type"),
         )
-        .otherwise(F.format_string("Unreadable timestamp: '%s'", "timestamp"))
+        .otherwise(F.format_string("No time can be read from '%s'", "timestamp"))
     )
     detail = F.create_map(*[F.lit(text) for pair in ERROR_CLASSES.items() for text in pair])
     return rejected.select(
@@ -215,11 +219,11 @@ def dead_letters(rejected: DataFrame) -> DataFrame:
     )
 
 
-def recent_errors(errors: DataFrame, limit: int = 50, cap: int = 100) -> DataFrame:
-    """The newest errors, newest last; no more than the ``cap`` that is kept."""
+def recent_errors(errors: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest ``limit`` errors, newest last."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
-    newest = errors.orderBy(F.desc("occurred_at"), F.desc(ARRIVAL)).limit(min(limit, cap))
+    newest = errors.orderBy(F.desc("occurred_at"), F.desc(ARRIVAL)).limit(limit)
     return newest.orderBy("occurred_at", ARRIVAL)
 
 
@@ -340,7 +344,7 @@ def query_stream_aggregates(
     return aggregates.filter(condition).orderBy("device_id", "metric_type", "bucket", "bucket_start")
 
 
-def retain_latest_buckets(aggregates: DataFrame, max_buckets: int = 10_000) -> DataFrame:
+def retain_latest_buckets(aggregates: DataFrame, max_buckets: int) -> DataFrame:
     """The newest buckets by start; which of the oldest start stay is decided by the key."""
     if max_buckets < 1:
         raise ValueError(f"max_buckets must be at least 1, got {max_buckets}")
@@ -348,7 +352,7 @@ def retain_latest_buckets(aggregates: DataFrame, max_buckets: int = 10_000) -> D
     return aggregates.orderBy(F.desc("bucket_start"), *others).limit(max_buckets)
 
 
-def retain_latest_ids(seen: DataFrame, max_ids: int = 10_000) -> DataFrame:
+def retain_latest_ids(seen: DataFrame, max_ids: int) -> DataFrame:
     """The ids accepted last, in order of batch and arrival."""
     if max_ids < 1:
         raise ValueError(f"max_ids must be at least 1, got {max_ids}")

@@ -3,6 +3,10 @@
 Each micro-batch writes its own folder of partial aggregates, accepted ids, errors and counters. The
 folder name carries the batch number, so a repeated batch overwrites what it wrote before; reading adds
 the partials up. Nothing is ever read, changed and written back.
+
+Accepted ids lie in pieces by a hash of the id; a batch looks only into the pieces of its own ids. ``fold`` puts the
+batches finished so far into one folder per table and deletes what the fold before it replaced, so neither the folders nor
+their listing grow with the age of the stream.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,12 +32,16 @@ from gaugeworks.operators.events import (
     recent_errors,
     rejected_events,
     retain_latest_buckets,
+    retain_latest_ids,
 )
 from gaugeworks.sources.events import ARRIVAL, with_arrival
 from gaugeworks.sources.metric_store import read_or_empty
 
-BATCH = "batch_id"
-_SEEN_SCHEMA = f"event_id string, {ARRIVAL} bigint, {BATCH} bigint"
+BATCH, PIECE = "batch_id", "piece"
+# Hash pieces that accepted ids lie in; fixed for the life of a stream's tables.
+PIECES = 64
+# Arrivals are numbers or structs, as the source has them; these types are for tables without rows.
+_SEEN_SCHEMA = f"event_id string, {ARRIVAL} bigint, {PIECE} int, {BATCH} bigint"
 _ERROR_SCHEMA = (
     f"{ARRIVAL} bigint, error_id string, error_type string, message string, event_id string, "
     f"occurred_at timestamp, detail string, {BATCH} bigint"
@@ -53,25 +62,25 @@ class EventTables:
     spark: SparkSession
     root: str
 
-    def write(self, name: str, batch_id: int, frame: DataFrame) -> None:
-        frame.write.mode("overwrite").parquet(f"{self.root}/{name}/{BATCH}={batch_id}")
+    def write(self, name: str, batch_id: int, frame: DataFrame, by: tuple[str, ...] = ()) -> None:
+        frame.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{name}/{BATCH}={batch_id}")
 
     def accepted_ids(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/accepted", _SEEN_SCHEMA)
+        return self._all("accepted", _SEEN_SCHEMA)
 
     def aggregates(self) -> DataFrame:
         """Hour and day aggregates over everything processed so far."""
         return merge_aggregates(self._partials())
 
     def errors(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.root}/errors", _ERROR_SCHEMA)
+        return self._all("errors", _ERROR_SCHEMA)
 
-    def recent_errors(self, limit: int = 50, cap: int = 100) -> DataFrame:
-        return recent_errors(self.errors(), limit, cap)
+    def recent_errors(self, limit: int = 50) -> DataFrame:
+        return recent_errors(self.errors(), limit)
 
     def status(self, query: StreamingQuery | None = None) -> DataFrame:
         """Counters over all batches; with ``query`` also whether it runs and what it has waiting."""
-        counters = read_or_empty(self.spark, f"{self.root}/status", _STATUS_SCHEMA)
+        counters = self._all("status", _STATUS_SCHEMA)
         sums = [
             F.coalesce(F.sum(name), F.lit(0)).alias(name)
             for name in (
@@ -91,35 +100,94 @@ class EventTables:
             F.lit(queue_depth(query)).cast("bigint").alias("queue_depth"),
         )
 
-    def fold_partials(self, max_buckets: int | None = None) -> None:
-        """Add all partials so far up into one folder; with ``max_buckets`` keep only the newest.
+    def fold(self, max_buckets: int | None = None, max_ids: int | None = None, max_errors: int | None = None) -> None:
+        """Put all batches finished so far into one folder per table.
+
+        A batch counts as finished once its counters, written last, are there; one that lands meanwhile stays as it is.
+        A limit keeps only the newest buckets, ids or errors, for good: buckets and errors beyond it are gone from every
+        later read, and events whose id is forgotten count again if they are repeated.
 
-        The marker row makes the fold visible and is written last, so a fold that fails half way
-        changes nothing. Run it between micro-batches.
+        The marker row makes the fold visible and is written last, so a fold that fails half way changes nothing, and
+        without a new batch there is nothing to do. What the fold before this one replaced is deleted; a read that
+        began before that fold and still runs has to be repeated.
         """
-        raw = self._raw_partials().agg(F.max(BATCH)).first()[0]
-        if raw is None:
+        done = _stored(self.spark, f"{self.root}/status", _STATUS_SCHEMA).agg(F.max(BATCH)).first()[0]
+        before = self._up_to()
+        if done is None or done == before:
             return
-        folded = self.aggregates().drop("avg")
+        buckets = merge_aggregates(self._partials(done)).drop("avg")
+        ids, errors = self.accepted_ids().filter(F.col(BATCH) <= done), self.errors().filter(F.col(BATCH) <= done)
         if max_buckets is not None:
-            folded = retain_latest_buckets(folded, max_buckets)
-        folded.write.mode("overwrite").parquet(f"{self.root}/folded/up_to={raw}")
-        marker = self.spark.range(1).select(F.lit(raw).cast("bigint").alias("up_to"))
+            buckets = retain_latest_buckets(buckets, max_buckets)
+        if max_ids is not None:
+            ids = retain_latest_ids(ids, max_ids)
+        if max_errors is not None:
+            errors = errors.orderBy(F.desc("occurred_at"), F.desc(ARRIVAL)).limit(max_errors)
+        counters = self._all("status", _STATUS_SCHEMA).filter(F.col(BATCH) <= done)
+        sums = [F.sum(name).alias(name) for name in counters.columns if name.startswith("events_")]
+        latest = [F.max(name).alias(name) for name in counters.columns if name.startswith("last_") or name == BATCH]
+        folded = {"partials": buckets, "errors": errors, "status": counters.agg(*sums, *latest)}
+        for name, frame in folded.items():
+            frame.write.mode("overwrite").parquet(self._folded(name, done))
+        # Few files per piece, whatever the number of batches.
+        ids.repartition(PIECE).write.mode("overwrite").partitionBy(PIECE).parquet(self._folded("accepted", done))
+        marker = self.spark.range(1).select(F.lit(done).cast("bigint").alias("up_to"))
         marker.write.mode("append").parquet(f"{self.root}/folds")
-
-    def _partials(self) -> DataFrame:
-        """The newest fold and the partials after it."""
-        raw = self._raw_partials()
-        up_to = read_or_empty(self.spark, f"{self.root}/folds", "up_to bigint").agg(F.max("up_to")).first()[0]
+        if before is not None:
+            self._delete(before)
+
+    def _delete(self, up_to: int) -> None:
+        """Remove the fold ``up_to`` and the batches that it holds."""
+        jvm, settings = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(settings)
+        for name in ("partials", "accepted", "errors", "status"):
+            files.delete(path(self._folded(name, up_to)), True)
+            for folder in files.globStatus(path(f"{self.root}/{name}/{BATCH}=*")) or []:
+                if int(folder.getPath().getName().split("=")[1]) <= up_to:
+                    files.delete(folder.getPath(), True)
+
+    def _folded(self, name: str, up_to: int) -> str:
+        return f"{self.root}/folded/{name}/up_to={up_to}"
+
+    def _up_to(self) -> int | None:
+        """The last batch of the newest fold."""
+        return read_or_empty(self.spark, f"{self.root}/folds", "up_to bigint").agg(F.max("up_to")).first()[0]
+
+    def _all(self, name: str, schema: str) -> DataFrame:
+        """The newest fold of a table and the batches after it."""
+        raw, up_to = _stored(self.spark, f"{self.root}/{name}", schema), self._up_to()
         if up_to is None:
+            return raw
+        folded = _stored(self.spark, self._folded(name, up_to), schema)
+        later = raw.filter(F.col(BATCH) > up_to)
+        # Before the first row of either, its arrivals have the type of no rows.
+        if ARRIVAL in raw.columns and raw.schema[ARRIVAL] != folded.schema[ARRIVAL]:
+            return folded if raw.isEmpty() else later
+        return later.unionByName(folded)
+
+    def _partials(self, up_to: int | None = None) -> DataFrame:
+        """The newest fold and the partials after it, those of batch ``up_to`` the last."""
+        raw = read_or_empty(self.spark, f"{self.root}/partials", f"{AGGREGATE_SCHEMA}, {BATCH} bigint")
+        if up_to is not None:
+            raw = raw.filter(F.col(BATCH) <= up_to)
+        folded = self._up_to()
+        if folded is None:
             return raw.drop(BATCH)
-        folded = self.spark.read.schema(AGGREGATE_SCHEMA).parquet(f"{self.root}/folded/up_to={up_to}")
-        return raw.filter(F.col(BATCH) > up_to).drop(BATCH).unionByName(folded)
+        buckets = self.spark.read.schema(AGGREGATE_SCHEMA).parquet(self._folded("partials", folded))
+        return raw.filter(F.col(BATCH) > folded).drop(BATCH).unionByName(buckets)
 
-    def _raw_partials(self) -> DataFrame:
-        return read_or_empty(
-            self.spark, f"{self.root}/partials", f"{AGGREGATE_SCHEMA}, {BATCH} bigint"
-        )
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table with the types that it was written with, or no rows while there is no file."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+    columns = spark.createDataFrame([], schema).schema
+    return found.select(*[F.col(f.name) if f.name == ARRIVAL else F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
 
 
 def queue_depth(query: StreamingQuery | None) -> int | None:
@@ -147,16 +215,29 @@ def process_batch(
 
     ``remembered_batches`` limits how far back repeated ids are looked for; ``None`` looks at all.
     """
-    parsed = parse_events(with_arrival(batch), contract).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return frame
+
     try:
-        seen = _seen_in(parsed, _earlier_ids(tables, batch_id, remembered_batches))
-        readings = accepted_readings(parsed, contract, seen)
+        parsed = keep(parse_events(with_arrival(batch), contract))
+        # Looked up once for all four tables.
+        seen = keep(_seen_in(parsed, _earlier_ids(tables, batch_id, remembered_batches)))
+        readings = keep(accepted_readings(parsed, contract, seen))
         tables.write("partials", batch_id, bucket_partials(readings, contract))
-        tables.write("accepted", batch_id, readings.select("event_id", ARRIVAL))
+        tables.write("accepted", batch_id, readings.select("event_id", ARRIVAL, _piece()), (PIECE,))
         tables.write("errors", batch_id, dead_letters(rejected_events(parsed, seen)))
+        # Last: a batch with counters is complete.
         tables.write("status", batch_id, _batch_status(parsed, seen))
     finally:
-        parsed.unpersist()
+        for frame in kept:
+            frame.unpersist()
+
+
+def _piece():
+    return F.pmod(F.xxhash64("event_id"), F.lit(PIECES)).cast("int").alias(PIECE)
 
 
 def _earlier_ids(tables: EventTables, batch_id: int, remembered_batches: int | None) -> DataFrame:
@@ -169,11 +250,13 @@ def _earlier_ids(tables: EventTables, batch_id: int, remembered_batches: int | N
 def _seen_in(parsed: DataFrame, earlier: DataFrame) -> DataFrame:
     """Which ids of this batch were accepted earlier.
 
-    The ids accepted so far outgrow any batch. While the batch's ids are few they go to the scan of
-    the earlier ones, which then needs no shuffle; a larger batch shuffles both.
+    Only the pieces that hold the batch's ids are read. The ids accepted so far outgrow any batch: while the batch's ids
+    are few they go to the scan of the earlier ones, which then needs no shuffle; a larger batch shuffles both.
     """
     ids = parsed.filter(F.col("event_id").isNotNull()).select("event_id").distinct()
-    if ids.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS:
+    counts = ids.groupBy(_piece()).count().collect()  # at most PIECES rows
+    earlier = earlier.filter(F.col(PIECE).isin([row[PIECE] for row in counts]))
+    if sum(row["count"] for row in counts) <= _BROADCAST_IDS:
         ids = F.broadcast(ids)
     return earlier.join(ids, "event_id", "left_semi").select("event_id").distinct()
 

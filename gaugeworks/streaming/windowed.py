@@ -18,7 +18,7 @@ from gaugeworks.operators.normalize import DEVICE_KEYS
 def windowed_aggregates(events: DataFrame, contract: Contract, bucket: str, lateness: str) -> DataFrame:
     """Aggregates of one bucket size over a stream, final once the watermark passes the bucket."""
     if bucket not in BUCKETS:
-        raise ValueError(f"Unknown bucket type: {bucket!r}")
+        raise ValueError(f"buckets are {", ".join(BUCKETS)}, not {bucket!r}")
     readings = (
         parse_events(events, contract)
         .filter(F.col(STAGE) == GOOD)

@@ -114,7 +114,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _streamed(spark, sf_dir)
-    tables.fold_partials()
+    tables.fold()
     return comparable(tables.aggregates())
 
 
@@ -184,9 +184,9 @@ ORACLES: dict[str, str] = {
     "dead_letters": query(
         PARSED,
         select="""SELECT arrival_seq, outcome AS error_type, CASE stage
-    WHEN 'broken' THEN 'Event failed structural validation: ' || faults
-    WHEN 'other_type' THEN 'Unexpected event_type ''' || event_type || '''; expected ''sensor_reading'''
-    ELSE 'Unreadable timestamp: ''' || timestamp || '''' END AS message,
+    WHEN 'broken' THEN 'Fields missing or of a wrong kind: ' || faults
+    WHEN 'other_type' THEN 'Event type is ''' || event_type || ''', not ''sensor_reading'''
+    ELSE 'No time can be read from ''' || timestamp || '''' END AS message,
   event_id, CASE outcome WHEN 'malformed_event' THEN 'MalformedEventError' ELSE 'EventValidationError' END AS detail
 FROM outcomes WHERE outcome IN ('malformed_event', 'validation_error')""",
     ),

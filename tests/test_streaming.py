@@ -1,18 +1,24 @@
 import json
+import os
+import re
 from uuid import uuid4
 
 from frames import rows
+from pyspark.sql import functions as F
 from test_events import event, raw_events
 
 from gaugeworks.operators.events import (
     accepted_readings,
     bucket_partials,
+    classify_events,
+    dead_letters,
     merge_aggregates,
     parse_events,
+    rejected_events,
 )
 from gaugeworks.session import shared_folder
-from gaugeworks.sources.events import read_event_stream
-from gaugeworks.streaming.exact import EventTables, process_batch, start_exact
+from gaugeworks.sources.events import kafka_events, read_event_stream
+from gaugeworks.streaming.exact import EventTables, _seen_in, process_batch, start_exact
 from gaugeworks.streaming.windowed import windowed_aggregates
 
 COLUMNS = ("station_id", "device_id", "metric_type", "bucket", "bucket_start", "count", "total", "avg")
@@ -66,12 +72,93 @@ def test_repeated_batches_and_replays_change_nothing(spark, contract):
     once = rows(tables.aggregates(), *COLUMNS)
     process_batch(batch, 1, tables, contract)
     assert rows(tables.aggregates(), *COLUMNS) == once == expected(spark, contract, payloads())
-    tables.fold_partials()
+    tables.fold()
+    tables.fold()  # nothing new: nothing is written again
     assert rows(tables.aggregates(), *COLUMNS) == once
     process_batch(raw_events(spark, [event("z")]), 2, tables, contract)
     assert rows(tables.aggregates(), *COLUMNS) == expected(spark, contract, [*payloads(), event("z")])
 
 
+def test_a_fold_holds_the_batches_finished_before_it(spark, contract):
+    tables = EventTables(spark, folder(spark))
+    for number, name in enumerate("ab"):
+        process_batch(raw_events(spark, [event(name), {"garbage": number}]), number, tables, contract)
+    # A third batch has written its partials, and not yet its counters, when the fold runs.
+    late = accepted_readings(parse_events(raw_events(spark, [event("c")]), contract), contract)
+    tables.write("partials", 2, bucket_partials(late, contract))
+    tables.fold()
+    process_batch(raw_events(spark, [event("c"), event("a")]), 2, tables, contract)
+    assert rows(tables.aggregates(), *COLUMNS) == expected(spark, contract, [event(n) for n in "abc"])
+    assert tables.status().first().events_consumed == 6 and tables.errors().count() == 2
+    for number in (3, 4):
+        process_batch(raw_events(spark, [event(f"x{number}"), event("b")]), number, tables, contract)
+        tables.fold()
+    names = {row.event_id for row in tables.accepted_ids().collect()}
+    assert names == {"a", "b", "c", "x3", "x4"}
+    assert rows(tables.aggregates(), *COLUMNS) == expected(spark, contract, [event(n) for n in ("a", "b", "c", "x3", "x4")])
+    # What older folds replaced is gone, whatever the number of batches.
+    raw = spark.read.parquet(f"{tables.root}/status").select("batch_id").distinct()
+    assert sorted(row.batch_id for row in raw.collect()) == [4]
+
+
+def test_a_fold_may_forget(spark, contract):
+    tables = EventTables(spark, folder(spark))
+    for number, name in enumerate("abc"):
+        process_batch(raw_events(spark, [event(name), {"garbage": number}]), number, tables, contract)
+    tables.fold(max_ids=2, max_errors=1, max_buckets=1)
+    assert {row.event_id for row in tables.accepted_ids().collect()} == {"b", "c"}
+    assert tables.errors().count() == tables.aggregates().count() == 1
+    assert tables.status().first().events_consumed == 6
+
+
+def test_a_batch_reads_only_the_pieces_of_its_ids(spark, contract):
+    tables = EventTables(spark, folder(spark))
+    for number in range(3):
+        process_batch(raw_events(spark, [event(f"{number}-{n}") for n in range(40)]), number, tables, contract)
+    parsed = parse_events(raw_events(spark, [event("1-7")]), contract)
+    found = _seen_in(parsed, tables.accepted_ids())
+    assert [row.event_id for row in found.collect()] == ["1-7"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*piece#\d+ (IN|=) ?\(?\d+\)?", plan)
+
+
+def test_the_first_line_written_wins_whatever_the_size_of_files(spark, contract, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    first, second = source / "b.jsonl", source / "a.jsonl"
+    first.write_text(json.dumps(event("a", readings={"discharge_pressure": 1})))
+    filler = [json.dumps(event(f"f{n}", timestamp="2024-03-01T00:00:00")) for n in range(2000)]
+    lines = [json.dumps(event("a", readings={"discharge_pressure": 2}))]
+    second.write_text("\n".join(filler + lines + ["\n\t " + json.dumps(event("a"))]))
+    os.utime(first, (1_700_000_000, 1_700_000_000))
+    os.utime(second, (1_700_000_100, 1_700_000_100))
+    tables = EventTables(spark, folder(spark))
+    start_exact(read_event_stream(spark, str(source)), tables, contract, folder(spark), drain=True).awaitTermination()
+    found = tables.aggregates().filter("metric_type = 'discharge_pressure' AND bucket = 'hour' AND bucket_start < '2024-02-15'")
+    assert [tuple(row) for row in found.select("count", "total").collect()] == [(1, 1.0)]
+
+
+def test_kafka_offsets_count_within_a_partition(spark, contract):
+    records = [
+        (json.dumps(event("a")).encode(), "2024-02-01T00:00:02", 0, 5),
+        (json.dumps(event("a")).encode(), "2024-02-01T00:00:01", 1, 5),
+        (b"{", "2024-02-01T00:00:03", 0, 9),
+        (b"{", "2024-02-01T00:00:03", 1, 9),
+    ]
+    frame = spark.createDataFrame(records, "value binary, at string, partition int, offset bigint")
+    events = kafka_events(frame.withColumn("timestamp", F.to_timestamp("at")))
+    parsed = parse_events(events, contract)
+    outcomes = {(row.arrival_seq.origin, row.arrival_seq.place): row.outcome for row in classify_events(parsed).collect()}
+    assert outcomes == {("0", 5): "duplicate", ("1", 5): "ok", ("0", 9): "malformed_event", ("1", 9): "malformed_event"}
+    assert len({row.error_id for row in dead_letters(rejected_events(parsed)).collect()}) == 2
+    tables = EventTables(spark, folder(spark))
+    process_batch(events, 0, tables, contract)
+    process_batch(events, 1, tables, contract)
+    tables.fold()
+    assert tables.status().first().events_processed_successfully == 4
+    assert tables.recent_errors(3).count() == 3
+
+
 def test_status_and_errors_before_any_event(spark):
     tables = EventTables(spark, folder(spark))
     assert tables.status().first().events_consumed == 0
