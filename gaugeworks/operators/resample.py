@@ -16,6 +16,8 @@ from gaugeworks.functions.timegrid import (
     shared_grain,
 )
 from gaugeworks.operators.normalize import DEVICE_KEYS, TIME
+from gaugeworks.operators.slices import join_per_key
+from gaugeworks.session import write_down
 
 
 def resample_mean(frame: DataFrame, frequency: str, sensors: Sequence[str]) -> DataFrame:
@@ -24,7 +26,7 @@ def resample_mean(frame: DataFrame, frequency: str, sensors: Sequence[str]) -> D
     Bins count from midnight of the device's first reading. Where the frequency divides a day every
     midnight is a bin start and no origin is needed: one aggregation. Otherwise readings are first
     reduced to the longest grain that both days and bins consist of, and the origin comes from those
-    grains, so the readings themselves are still read and shuffled once.
+    grains, which are written down, so the readings themselves are read and shuffled once.
     """
     step = parse_frequency(frequency)
     sums = [F.sum(name).alias(f"{name}_sum") for name in sensors]
@@ -32,10 +34,10 @@ def resample_mean(frame: DataFrame, frequency: str, sensors: Sequence[str]) -> D
     if divides_day(step):
         binned = frame.groupBy(*DEVICE_KEYS, _bin(step)).agg(*[F.avg(n).alias(n) for n in sensors])
     else:
-        grains = frame.groupBy(*DEVICE_KEYS, _bin(shared_grain(step))).agg(*sums, *counts)
+        grains = write_down(frame.groupBy(*DEVICE_KEYS, _bin(shared_grain(step))).agg(*sums, *counts))
         origin_us = floor_to_step(F.min(micros(TIME)), DAY_US)
         origins = grains.groupBy(*DEVICE_KEYS).agg(origin_us.alias("_origin"))
-        placed = grains.join(origins, list(DEVICE_KEYS)).withColumn(
+        placed = join_per_key(grains, origins, DEVICE_KEYS, TIME).withColumn(
             TIME, F.timestamp_micros(floor_to_step(micros(TIME), step, F.col("_origin")))
         )
         binned = placed.groupBy(*DEVICE_KEYS, TIME).agg(

@@ -22,12 +22,16 @@ from gaugeworks.session import planned_ahead, write_down
 SLICE = "_slice"
 # A calendar piece is cut further above this many rows; some 100 MB of readings.
 MAX_SLICE_ROWS = 1_000_000
-# Room for range numbers inside one slice number.
-_RANGES = 1 << 20
+# Room for range numbers inside one slice number: as many as Spark can number partitions.
+_RANGES = 1 << 31
+# With that room, pieces this long fit a slice number for 136 years around 1970.
+_LEAST_WIDTH_US = 1_000_000
 # Crowded pieces are few: each holds more than MAX_SLICE_ROWS rows, so 10^12 rows give under 10^6.
 _BROADCAST_PIECES = 1_000_000
 # Keys whose one row each is sent to every task; some 100 MB.
 _BROADCAST_KEYS = 1_000_000
+# Places that the rows of one key are spread over where they are in no slices.
+_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -63,6 +67,8 @@ def slice_rows(
     Looking for crowded pieces is one counting job over the key columns. Without any, which is the
     usual case, the result stays lazy and costs no shuffle of its own.
     """
+    if width_us < _LEAST_WIDTH_US:
+        raise ValueError(f"width_us must be at least {_LEAST_WIDTH_US}, got {width_us}")
     keys, order = tuple(keys), tuple(order)
     piece = F.expr(f"unix_micros({order[0]}) div {width_us}")
     frame = frame.withColumn(SLICE, piece * _RANGES)
@@ -185,6 +191,20 @@ def attach_per_key(sliced: SlicedRows, rows: DataFrame, per_key: DataFrame) -> D
     return rows.join(spread, sliced.within, "left")
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
+    """Join one row per key onto rows that are in no slices; a key may have any number of rows.
+
+    ``per_key`` is written down and its size decides: few keys go to every task, more are copied ``_SALTS`` times, so that
+    the rows of a large key, told apart by the column ``spread``, meet them in as many places.
+    """
+    per_key = write_down(per_key)
+    if per_key.count() <= _BROADCAST_KEYS:
+        return rows.join(F.broadcast(per_key), list(keys))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def gather(sliced: SlicedRows) -> SlicedRows:
     """Write the rows down once, laid out by (key, slice) and sorted, for several ordered operators.
 

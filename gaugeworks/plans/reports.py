@@ -26,22 +26,30 @@ def snapshot_rows(metrics: DataFrame, limit: int = SNAPSHOT_ROWS) -> DataFrame:
     Up to ``limit`` rows all are shown in stored order; beyond it the newest by window start, newest
     first. Ranking happens in salted pieces first, so what meets in one task is bounded for any station.
     """
+    return _ranked(metrics, limit).drop("rows_total")
+
+
+def _ranked(metrics: DataFrame, limit: int) -> DataFrame:
+    """The rows shown, with the number of all rows of their station."""
     newest_first = [F.desc("window_start"), *_TIE_BREAK]
     salt = F.pmod(F.xxhash64(*_TIE_BREAK), F.lit(_SALTS))
-    piece = Window.partitionBy(STATION, "_salt").orderBy(*newest_first)
-    whole = Window.partitionBy(STATION).orderBy(*newest_first)
-    # One row more than shown tells whether there are more.
+    piece = Window.partitionBy(STATION, "_salt")
+    whole = Window.partitionBy(STATION)
+    best = metrics.withColumn("_salt", salt).select(
+        "*",
+        F.row_number().over(piece.orderBy(*newest_first)).alias("_in_piece"),
+        F.count(F.lit(1)).over(piece).alias("_piece_rows"),
+    )
+    # The first row of a piece stands for the size of the piece.
+    total = F.sum(F.when(F.col("_in_piece") == 1, F.col("_piece_rows"))).over(whole)
     ranked = (
-        metrics.withColumn("_salt", salt)
-        .withColumn("_rank", F.row_number().over(piece))
-        .filter(F.col("_rank") <= limit + 1)
-        .withColumn("_rank", F.row_number().over(whole))
-        .filter(F.col("_rank") <= limit + 1)
-        .withColumn("_cut", F.max("_rank").over(Window.partitionBy(STATION)) > limit)
+        best.filter(F.col("_in_piece") <= max(limit, 1))
+        .select("*", total.alias("rows_total"), F.row_number().over(whole.orderBy(*newest_first)).alias("_rank"))
         .filter(F.col("_rank") <= limit)
     )
-    stored = F.row_number().over(Window.partitionBy(STATION).orderBy(*_TIE_BREAK))
-    return ranked.withColumn("position", F.when(F.col("_cut"), F.col("_rank")).otherwise(stored)).select(
+    stored = F.row_number().over(whole.orderBy(*_TIE_BREAK))
+    position = F.when(F.col("rows_total") > limit, F.col("_rank")).otherwise(stored)
+    return ranked.withColumn("position", position).select(
         STATION,
         "position",
         "device_id",
@@ -50,11 +58,15 @@ def snapshot_rows(metrics: DataFrame, limit: int = SNAPSHOT_ROWS) -> DataFrame:
         "unit",
         "window_start",
         "window_end",
+        "rows_total",
     )
 
 
 def metrics_snapshot(metrics: DataFrame, limit: int = SNAPSHOT_ROWS) -> DataFrame:
-    """The snapshot as JSON text, one row per station; ``limit`` bounds what a row collects."""
+    """The snapshot as JSON text, one row per station; ``limit`` bounds what a row collects.
+
+    ``rows_total`` says how many metrics there are, next to the ``rows_shown`` of them.
+    """
     entry = F.struct(
         "position",
         "device_id",
@@ -67,9 +79,13 @@ def metrics_snapshot(metrics: DataFrame, limit: int = SNAPSHOT_ROWS) -> DataFram
     entries = F.array_sort(F.collect_list(entry))
     shown = F.transform(entries, lambda item: item.dropFields("position"))
     return (
-        snapshot_rows(metrics, limit)
+        _ranked(metrics, limit)
         .groupBy(STATION)
-        .agg(F.to_json(shown).alias("snapshot"), F.count(F.lit(1)).alias("rows_shown"))
+        .agg(
+            F.to_json(shown).alias("snapshot"),
+            F.count(F.lit(1)).alias("rows_shown"),
+            F.max("rows_total").alias("rows_total"),
+        )
     )
 
 
@@ -96,15 +112,21 @@ def station_summary_input(
     stations: Iterable[str],
     start: datetime | None = None,
     end: datetime | None = None,
+    limit: int = SNAPSHOT_ROWS,
 ) -> DataFrame:
-    """What a health summary of each station starts from; ``found`` is false without stored metrics."""
+    """What a health summary of each station starts from; ``found`` is false without stored metrics.
+
+    A snapshot shows at most ``limit`` metrics, the newest; ``rows_shown`` of ``rows_total``.
+    """
     query = MetricQuery(start_time=start, end_time=end)
     asked = metrics.sparkSession.createDataFrame([(name,) for name in stations], f"{STATION} string")
     wanted = metrics.filter(metric_filter(query)).join(asked, STATION, "left_semi")
-    snapshots = metrics_snapshot(wanted)
+    snapshots = metrics_snapshot(wanted, limit)
     return asked.join(snapshots, STATION, "left").select(
         STATION,
         F.col("snapshot").isNotNull().alias("found"),
         F.lit(format_period(start, end)).alias("period"),
         "snapshot",
+        F.coalesce("rows_shown", F.lit(0)).alias("rows_shown"),
+        F.coalesce("rows_total", F.lit(0)).alias("rows_total"),
     )

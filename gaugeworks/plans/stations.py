@@ -67,14 +67,17 @@ class ProcessedStations:
 
     def save(self, store: MetricStore, batch_seq: int | None = None) -> DataFrame:
         """Upsert the metrics and return the summary."""
-        store.save(self.metrics, store.next_batch() if batch_seq is None else batch_seq)
+        store.save(self.metrics, batch_seq)
         return self.summary
 
     def raise_for_failures(self) -> ProcessedStations:
-        """Turn station states other than ``ok`` into an error naming the first of them."""
-        failed = self.summary.filter(F.col("run_status") != "ok").select(STATION, "run_status").limit(20)
-        if rows := failed.collect():
-            raise StationRunError(", ".join(f"{station}: {state}" for station, state in rows))
+        """Turn station states other than ``ok`` into an error: their number, and the first twenty by name."""
+        failed = self.summary.filter(F.col("run_status") != "ok").select(STATION, "run_status")
+        if total := failed.count():
+            first = failed.orderBy(STATION).limit(20).collect()
+            named = ", ".join(f"{station}: {state}" for station, state in first)
+            shown = "" if total == len(first) else f" (the first {len(first)}; ``summary`` has all)"
+            raise StationRunError(f"{total} failed: {named}{shown}")
         return self
 
 
@@ -88,8 +91,8 @@ def process_stations(
 ) -> ProcessedStations:
     """Run every step for all stations asked for, without one bad station stopping the others.
 
-    The readings are read once for the counts and once to lay them out by device and slice; gaps,
-    flatlines and cleaning then work on that layout without shuffling them again.
+    The readings are read three times: for the counts, to look for crowded slices, and to lay them out by device and
+    slice; gaps, flatlines and cleaning then work on that layout without shuffling them again.
     """
     options = options or ProcessingOptions()
     contract = contract or default_contract()

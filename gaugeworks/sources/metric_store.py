@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +28,18 @@ METRIC_SCHEMA = (
 )
 METRIC_COLUMNS = tuple(part.split()[0] for part in METRIC_SCHEMA.split(", "))
 STORED_ORDER = ("station_id", "device_id", "metric_name", "window_start")
-BATCH, ROW = "batch_seq", "row_seq"
+BATCH, RUN, ROW = "batch_seq", "run_id", "row_seq"
+# The run of a batch that is stored under a number of the caller's own.
+NUMBERED = "numbered"
 
 
 def newest_per_key(rows: DataFrame) -> DataFrame:
-    """One row per metric key: the one of the latest batch, within a batch the latest row.
+    """One row per metric key: the one of the latest batch, within a batch the latest run's latest row.
 
     A grouped maximum keeps one candidate per key and partition before the shuffle, so a key written
     over and over does not gather its copies in one task.
     """
-    newest = F.max(F.struct(BATCH, ROW, *METRIC_VALUES)).alias("_newest")
+    newest = F.max(F.struct(BATCH, RUN, ROW, *METRIC_VALUES)).alias("_newest")
     return (
         rows.groupBy(*METRIC_KEY)
         .agg(newest)
@@ -47,11 +51,12 @@ def newest_per_key(rows: DataFrame) -> DataFrame:
 def upsert_metrics(existing: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` wins over ``existing``; inside ``new`` the row with the greatest ``row_seq`` wins."""
     row = F.col(ROW) if ROW in new.columns else F.lit(0).cast("bigint")
+    run = F.lit("").alias(RUN)
     return newest_per_key(
         existing.select(
-            *METRIC_COLUMNS, F.lit(0).cast("bigint").alias(BATCH), F.lit(0).cast("bigint").alias(ROW)
+            *METRIC_COLUMNS, F.lit(0).cast("bigint").alias(BATCH), run, F.lit(0).cast("bigint").alias(ROW)
         ).unionByName(
-            new.select(*METRIC_COLUMNS, F.lit(1).cast("bigint").alias(BATCH), row.alias(ROW))
+            new.select(*METRIC_COLUMNS, F.lit(1).cast("bigint").alias(BATCH), run, row.alias(ROW))
         )
     )
 
@@ -67,15 +72,21 @@ class MetricStore:
         self._spark = spark
         self._path = path
 
-    def save(self, metrics: DataFrame, batch_seq: int) -> None:
-        """Store one batch under its number; the same number again overwrites it."""
+    def save(self, metrics: DataFrame, batch_seq: int | None = None) -> None:
+        """Store one batch. With a number of the caller's own, the same number again overwrites it.
+
+        Without one the batch comes after all that are there and has a folder of its own: of two runs that save at the same
+        time both are kept, and where they have a key in common one of them wins.
+        """
+        run = uuid4().hex if batch_seq is None else NUMBERED
+        batch_seq = self.next_batch() if batch_seq is None else batch_seq
         row = F.col(ROW) if ROW in metrics.columns else F.lit(0).cast("bigint")
         (
             metrics.select(*METRIC_COLUMNS, row.alias(ROW))
             .repartitionByRange(*METRIC_KEY)
             .sortWithinPartitions(*METRIC_KEY)
             .write.mode("overwrite")
-            .parquet(f"{self._path}/{BATCH}={batch_seq}")
+            .parquet(f"{self._path}/{BATCH}={batch_seq}/{RUN}={run}")
         )
 
     def load(self) -> DataFrame:
@@ -96,7 +107,7 @@ class MetricStore:
         MetricStore(self._spark, path).save(self.load(), 0)
 
     def _batches(self) -> DataFrame:
-        schema = f"{METRIC_SCHEMA}, {ROW} bigint, {BATCH} bigint"
+        schema = f"{METRIC_SCHEMA}, {ROW} bigint, {BATCH} bigint, {RUN} string"
         return read_or_empty(self._spark, self._path, schema)
 
 

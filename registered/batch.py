@@ -263,7 +263,7 @@ def metric_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(snapshot_rows(daily_metrics(spark, sf_dir)), 3)
+    return comparable(snapshot_rows(daily_metrics(spark, sf_dir)), 9)
 
 
 def metrics_snapshot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +274,7 @@ def station_health_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = station_summary_input(
         daily_metrics(spark, sf_dir), ["S0", "S1", "S2", "S9"], QUERY_FROM, QUERY_TO
     )
-    entries = F.from_json("snapshot", "array<struct<device_id string, metric_name string>>")
-    return found.select(
-        "station_id", "found", "period", F.coalesce(F.size(entries), F.lit(0)).alias("rows_shown")
-    )
+    return found.select("station_id", "found", "period", "snapshot", "rows_shown", "rows_total")
 
 
 QUERIES: dict[str, Query] = {
@@ -442,6 +439,35 @@ _SNAPSHOT = (
     "station_id, device_id, metric_name, window_start, window_end, resample_frequency, missing_strategy"
 )
 
+def _half_even(column: str) -> str:
+    """Four digits, ties to even, by the decimal digits that a double is written with."""
+    exact = f"(CAST(CAST({column} AS VARCHAR) AS DECIMAL(30, 17)) * 10000)"
+    even = f"(floor({exact}) + CASE WHEN floor({exact}) % 2 = 0 THEN 0 ELSE 1 END)"
+    whole = f"CASE WHEN {exact} - floor({exact}) = 0.5 THEN {even} ELSE round({exact}) END"
+    return f"(CAST({whole} AS DOUBLE) / 10000)"
+
+
+def _snapshots(where: str = "") -> tuple[str, ...]:
+    """Snapshot text per station. Spark writes doubles below a thousandth with an exponent."""
+    number = """CASE WHEN v <> 0 AND abs(v) < 0.001 THEN CAST(CAST(round(v * 10000) AS INT) AS VARCHAR) || '.0E-4'
+    ELSE CAST(v AS VARCHAR) END"""
+    moment = "strftime({}, '%Y-%m-%dT%H:%M:%S+00:00')"
+    entry = f"""'{{"device_id":"' || device_id || '","metric_name":"' || metric_name
+    || coalesce('","metric_value":' || {number}, '"') || coalesce(',"unit":"' || unit || '"', '')
+    || ',"window_start":"' || {moment.format("window_start")} || '","window_end":"' || {moment.format("window_end")} || '"}}'"""
+    return (
+        f"""chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY window_start DESC, {_SNAPSHOT}) AS newest,
+    row_number() OVER (PARTITION BY station_id ORDER BY {_SNAPSHOT}) AS stored,
+    count(*) OVER (PARTITION BY station_id) AS n, {_half_even("metric_value")} AS v FROM metrics {where})""",
+        f"""entries AS (
+  SELECT station_id, n, CASE WHEN n > 200 THEN newest ELSE stored END AS place, {entry} AS entry FROM chosen WHERE newest <= 200)""",
+        """snapshots AS (
+  SELECT station_id, '[' || string_agg(entry, ',' ORDER BY place) || ']' AS snapshot, count(*) AS rows_shown, max(n) AS rows_total
+  FROM entries GROUP BY station_id)""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "scan_station_range": query(
         NORMALIZED,
@@ -600,6 +626,7 @@ answers AS (
         select=f"""SELECT request_id, refusal, coalesce(matched, 0) AS matched_rows, {rounded("value", 4)} AS aggregate_value
 FROM requests LEFT JOIN answers USING (request_id)""",
     ),
+    "metrics_snapshot": query(*_DAILY, *_snapshots(), select="SELECT station_id, snapshot, rows_shown, rows_total FROM snapshots"),
     "metrics_snapshot_rows": query(
         *_DAILY,
         f"""ranked AS (
@@ -609,14 +636,15 @@ placed AS (
   SELECT *, CASE WHEN n > 200 THEN newest ELSE row_number() OVER (PARTITION BY station_id ORDER BY {_SNAPSHOT}) END AS place
   FROM ranked WHERE newest <= 200)""",
         select=f"""SELECT station_id, CAST(place AS INT) AS position, device_id, metric_name,
-  {rounded("round_even(metric_value, 4)", 3)} AS metric_value, unit, window_start, window_end FROM placed""",
+  {_half_even("metric_value")} AS metric_value, unit, window_start, window_end FROM placed""",
     ),
     "station_health_input": query(
         *_DAILY,
         _ASKED,
-        f"shown AS (SELECT station_id, least(count(*), 200) AS n FROM metrics WHERE {_WINDOW} GROUP BY station_id)",
-        select=f"""SELECT station_id, n IS NOT NULL AS found,
-  '{QUERY_FROM.isoformat()} to {QUERY_TO.isoformat()}' AS period, CAST(coalesce(n, 0) AS INT) AS rows_shown
-FROM asked LEFT JOIN shown USING (station_id)""",
+        *_snapshots(f"WHERE {_WINDOW}"),
+        select=f"""SELECT station_id, snapshot IS NOT NULL AS found,
+  '{QUERY_FROM.isoformat()} to {QUERY_TO.isoformat()}' AS period, snapshot,
+  coalesce(rows_shown, 0) AS rows_shown, coalesce(rows_total, 0) AS rows_total
+FROM asked LEFT JOIN snapshots USING (station_id)""",
     ),
 }

@@ -52,6 +52,21 @@ def test_store_round_trip_and_overwrite(spark):
     assert rows(store.load(), "metric_value") == [(7.5,)]
 
 
+def test_runs_at_the_same_time_are_both_kept(spark):
+    store = MetricStore(spark, f"{shared_folder(spark)}/metrics-{uuid4().hex}")
+    numbers = iter([store.next_batch(), store.next_batch()])  # both look before either writes
+    store.next_batch = lambda: next(numbers)
+    store.save(metrics(spark, metric(1.5)))
+    store.save(metrics(spark, metric(2.5, metric_name="other")))
+    assert sorted(v for (v,) in rows(store.load(), "metric_value")) == [1.5, 2.5]
+    store.save(metrics(spark, metric(3.5)), 7)
+    store.save(metrics(spark, metric(4.5)), 7)
+    assert sorted(v for (v,) in rows(store.load(), "metric_value")) == [2.5, 4.5]
+    compacted = f"{shared_folder(spark)}/metrics-{uuid4().hex}"
+    store.compact(compacted)
+    assert sorted(v for (v,) in rows(MetricStore(spark, compacted).load(), "metric_value")) == [2.5, 4.5]
+
+
 def test_overlap_includes_touching_bounds(spark):
     stored = metrics(spark, metric())
     def hits(start, end):
@@ -122,14 +137,16 @@ def test_snapshot_shows_all_in_stored_order_or_the_newest(spark):
     stored = metrics(spark, *many)
     assert [v for _, v in rows(snapshot_rows(stored, 6), "position", "metric_value")] == [0, 2, 4, 1, 3, 5]
     assert [v for _, v in rows(snapshot_rows(stored, 5), "position", "metric_value")] == [5, 4, 3, 2, 1]
-    text = json.loads(metrics_snapshot(stored, 5).first().snapshot)
+    snapshot = metrics_snapshot(stored, 5).first()
+    assert (snapshot.rows_shown, snapshot.rows_total) == (5, 6)
+    text = json.loads(snapshot.snapshot)
     assert len(text) == 5 and text[0]["window_start"] == "2024-02-01T00:05:00+00:00"
     assert list(text[0]) == ["device_id", "metric_name", "metric_value", "unit", "window_start", "window_end"]
 
 
 def test_station_without_metrics_is_not_found(spark):
     found = station_summary_input(metrics(spark, metric()), ["S", "T"], None, datetime(2024, 3, 1))
-    assert rows(found, "station_id", "found", "period") == [
-        ("S", True, "beginning to 2024-03-01T00:00:00"),
-        ("T", False, "beginning to 2024-03-01T00:00:00"),
+    assert rows(found, "station_id", "found", "period", "rows_shown", "rows_total") == [
+        ("S", True, "beginning to 2024-03-01T00:00:00", 1, 1),
+        ("T", False, "beginning to 2024-03-01T00:00:00", 0, 0),
     ]
