@@ -101,9 +101,10 @@ def latest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _streamed(spark: SparkSession, sf_dir: str) -> EventTables:
     """Run the exact stream over the events, written out as files of a shared folder, to the end."""
     root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    raw_events(spark, sf_dir).repartitionByRange(4, "arrival_seq").write.parquet(f"{root}/in")
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw_events(spark, sf_dir).repartitionByRange(files, "arrival_seq").write.parquet(f"{root}/in")
     tables = EventTables(spark, f"{root}/out")
-    events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=2)
+    events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=-(-files // 2))
     start_exact(events, tables, CONTRACT, f"{root}/checkpoint", drain=True).awaitTermination()
     return tables
 
