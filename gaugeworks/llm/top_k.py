@@ -38,13 +38,18 @@ def whole_numbers(vectors: DataFrame, key: str = "vec_id", vector: str = "embedd
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Add ``norm`` and ``block``: blocks of at most ``BLOCK`` rows of like norm, the longest first."""
+    """Add ``norm`` and ``block``: blocks of ``BLOCK`` rows of like norm, the longest first, wherever partitions end."""
     square = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
     ranged = rows.withColumn("norm", F.sqrt(square)).repartitionByRange(F.desc("norm"), F.col("vec_id"))
     placed = ranged.sortWithinPartitions(F.desc("norm"), F.col("vec_id")).withColumn("place", F.monotonically_increasing_id())
     # The upper bits of the place are the partition, the lower ones count within it.
     part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.select("vec_id", "v", "norm", (part * (1 << 22) + F.floor(inside / BLOCK)).alias("block"))
+    written = write_down(placed.select("vec_id", "v", "norm", part.alias("part"), inside.alias("inside")))
+    # One row per partition: the number of rows before it.
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    block = F.floor((F.col("start") + F.col("inside")) / BLOCK)
+    return written.join(F.broadcast(starts), "part").select("vec_id", "v", "norm", block.alias("block"))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -55,7 +60,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _meet(query_rows, vector_rows, basis: np.ndarray, k: int):
     """The best of one query block against one block of vectors: (query_id, vec_id, score) arrays.
 
-    Queries carry ``least``, a score that k others reach; -inf if there are not that many.
+    Queries carry the last of k others already found: ``least`` is its score, -inf if there are not that many, and
+    ``last`` its id. Only what ranks before it is returned, so copies of a vector beyond the k first are not.
     """
     queries = np.array(query_rows["v"].tolist(), dtype=np.float64)
     vectors = np.array(vector_rows["v"].tolist(), dtype=np.float64)
@@ -66,7 +72,8 @@ def _meet(query_rows, vector_rows, basis: np.ndarray, k: int):
     turned = vectors @ basis
     head = turned[:, :FIRST]
     rest = np.sqrt(np.maximum(norms**2 - (head**2).sum(axis=1), 0))
-    for query_id, query, norm, least in zip(query_rows["query_id"], queries, query_rows["norm"], query_rows["least"]):
+    carried = zip(*(query_rows[name] for name in ("query_id", "norm", "least", "last")))
+    for query, (query_id, norm, least, last) in zip(queries, carried):
         # Room for rounding: bounds may be a little too high, never too low.
         room = 1e-9 * (1 + norm * (norms[0] if len(norms) else 0)) + 1e-6
         long = np.searchsorted(-(norm * norms), -(least - room), "right") if np.isfinite(least) else len(norms)
@@ -78,7 +85,7 @@ def _meet(query_rows, vector_rows, basis: np.ndarray, k: int):
         bound = head[:long] @ query_head + rest[:long] * query_rest
         alive = np.nonzero(bound >= least - room)[0]
         scores = vectors[alive] @ query  # whole numbers: exact below 2^53
-        fit = (scores >= least) & (vec_ids[alive] != query_id)
+        fit = ((scores > least) | (scores == least) & (vec_ids[alive] < last)) & (vec_ids[alive] != query_id)
         scores, ids = scores[fit], vec_ids[alive][fit]
         best = _best(scores, ids, k)
         out.append((np.full(len(best), query_id), ids[best], scores[best].astype(np.int64)))
@@ -133,7 +140,7 @@ def search(
         )
         place = ["block", "query_block"]
         again = met.toDF(*place)
-        asked = asking.join(met, "query_block").toDF("query_block", "query_id", "v", "norm", "least", "block")
+        asked = asking.join(met, "query_block").toDF("query_block", "query_id", "v", "norm", "least", "last", "block")
         offered = rows.join(again, "block").toDF("block", "vec_id", "v", "norm", "query_block")
 
         def run(queries_here, vectors_here):
@@ -145,11 +152,18 @@ def search(
 
         return asked.groupBy(*place).cogroup(offered.groupBy(*place)).applyInPandas(run, fields)
 
-    unknown = queries.withColumn("least", F.lit(float("-inf")))
+    unknown = queries.select("*", F.lit(float("-inf")).alias("least"), F.lit(0).cast("long").alias("last"))
     first = write_down(pairs(sizes.where(F.col("block") == start), unknown))
-    least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") >= k)
+    worst = F.max(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("worst")
+    least = first.groupBy("query_id").agg(F.count("*").alias("n"), worst).where(F.col("n") >= k)
+    score, last = -F.col("worst.minus").cast("double"), F.col("worst.vec_id")
     known = queries.join(least, "query_id", "left").select(
-        "query_id", "v", "norm", "query_block", F.coalesce(F.col("worst").cast("double"), F.lit(float("-inf"))).alias("least")
+        "query_id",
+        "v",
+        "norm",
+        "query_block",
+        F.coalesce(score, F.lit(float("-inf"))).alias("least"),
+        F.coalesce(last, F.lit(0).cast("long")).alias("last"),
     )
     later = pairs(sizes.where(F.col("block") != start), write_down(known))
     return _rank(first.union(later), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -106,6 +106,18 @@ def brute_top(rows, k, every):
     return sorted(out)
 
 
+def test_blocks_and_ties_of_a_vector_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 64)
+    random = np.random.default_rng(5)
+    common = (3 * random.normal(size=6)).tolist()
+    rows = [(n, common if n % 3 else random.normal(size=6).tolist()) for n in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(20)
+    blocks = top_k._blocks(top_k.whole_numbers(vectors)).groupBy("block").count().collect()
+    assert sorted(row["count"] for row in blocks) == [600 % 64] + [64] * (600 // 64)
+    got = sorted(map(tuple, top_k.search(vectors, 20, 50).collect()))
+    assert got == brute_top(rows, 20, 50)
+
+
 @pytest.mark.parametrize("size", [8, 3000])
 def test_top_products_are_those_of_all_pairs(spark, size):
     random = np.random.default_rng(size)
