@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased. A first pass over all documents counts in how many of them each n-gram of a
-test item occurs. An item's seeds are its rare n-grams: those in at most ``FLOOR`` documents or, where even its
-rarest is common, as when a third of the corpus carries the item, in at most ``SPREAD`` times as many as the rarest.
-A second pass cuts out, around the seeds that a document shares with an item, the passage that may hold a copy, and aligns
-it with the item word by word. The score of the best local alignment, as a share of the item's own, decides.
+test item occurs. An item's rare seeds are, in every stretch of ``STRETCH`` n-grams, the ``RAREST`` that fewest documents hold
+among those that occur at all. A second pass cuts out, around what a document shares with an item, the passage that may hold a
+copy, and aligns it with the item word by word. Passages with a rare seed are aligned at once. Those held by common n-grams
+alone are aligned too, unless they lack so many of the item's words that no alignment can reach the threshold. So nothing is
+left out, however many documents carry the same copy. The score of the best local alignment, as a share of the item's own, decides.
 
 What is sent to the executors are the test items, in slices of at most ``MAX_WORDS`` words, each with two passes of its own.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import write_down
 
 SEED_WORDS = 5
-FLOOR = 100
-SPREAD = 8
+STRETCH = 10
+RAREST = 2
 SIMILARITY = 0.8
 MAX_WORDS = 2_000_000
 MISMATCH = GAP = 0.25
@@ -84,6 +85,7 @@ class Items:
             self.words.append(numbers)
             self.sizes.append(size)
         self.places = dict(places)
+        self.rare: set[tuple] = set()
         self.grams = {
             size: np.array(sorted(gram for s, gram in self.places if s == size), dtype=np.uint64) for size in set(self.sizes)
         }
@@ -100,44 +102,53 @@ class Items:
         return found
 
     def seeds(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keep only each item's rare grams, given the numbers of documents that hold them."""
-        least = [None] * len(self.ids)
+        """Mark each item's rare grams, given the numbers of documents that hold them; grams that none holds go."""
+        held = [[] for _ in self.ids]
         for gram, places in self.places.items():
-            for item, _ in places:
-                seen = counts.get(gram, 0)
-                least[item] = seen if least[item] is None else min(least[item], seen)
-        self.places = {
-            gram: kept
-            for gram, places in self.places.items()
-            if (kept := [(i, p) for i, p in places if counts.get(gram, 0) <= max(FLOOR, SPREAD * least[i])])
-        }
-        self.grams = {
-            size: np.array(sorted(gram for s, gram in self.places if s == size), dtype=np.uint64) for size in set(self.sizes)
-        }
+            for item, place in places:
+                if counts.get(gram, 0):
+                    held[item].append((place, gram))
+        self.rare = set()
+        for item, grams in enumerate(held):
+            stretches = defaultdict(list)
+            for place, gram in grams:
+                stretches[place // STRETCH].append((counts[gram], place, gram))
+            for stretch in stretches.values():
+                self.rare.update((item, gram) for _, _, gram in sorted(stretch)[:RAREST])
+        self.places = {gram: places for gram, places in self.places.items() if counts.get(gram, 0)}
+        self.grams = {size: np.array(sorted(gram for s, gram in self.places if s == size), dtype=np.uint64) for size in set(self.sizes)}
         self.grams = {size: grams for size, grams in self.grams.items() if len(grams)}
 
     def matches(self, numbers: np.ndarray, similarity: float) -> list[tuple]:
         """(item_id, score, first word, last word) of the best passage per item of one document."""
-        shifts = defaultdict(set)
+        shifts = defaultdict(dict)
         for size, gram, place in self.hits(numbers):
             for item, inside in self.places[size, gram]:
-                shifts[item].add(place - inside)
+                rare = (item, (size, gram)) in self.rare
+                shifts[item][place - inside] = rare or shifts[item].get(place - inside, False)
         found = []
         for item, starts in shifts.items():
-            size = len(self.words[item])
-            room = max(8, size // 3)
+            words = self.words[item]
+            size = len(words)
+            # So many words can be inserted into a copy that still reaches the threshold.
+            room = max(8, int((1 - similarity) * size / GAP) + 1)
             best = (0.0, 0, 0)
             ordered = sorted(starts)
-            first = ordered[0]
+            first, seeded = ordered[0], False
             # Seeds whose shifts are close belong to one passage.
             for start, after in zip(ordered, [*ordered[1:], None]):
+                seeded |= starts[start]
                 if after is not None and after - start <= room and after - first <= 4 * size:
                     continue
                 low, high = max(0, first - room), min(len(numbers), start + size + room)
-                score, end = alignment(self.words[item], numbers[low:high])
-                if score / size > best[0]:
-                    best = (score / size, max(low, low + end - size - room), low + end - 1)
-                first = after
+                passage = numbers[low:high]
+                # No alignment scores more than the item has words that the passage has too.
+                if seeded or np.isin(words, passage).sum() >= similarity * size:
+                    score, end = alignment(words, passage)
+                    if score / size > best[0]:
+                        length = alignment(words[::-1], passage[:end][::-1])[1] if score >= similarity * size else end
+                        best = (score / size, low + end - length, low + end - 1)
+                first, seeded = after, False
             if best[0] >= similarity:
                 found.append((self.ids[item], *best))
         return found

@@ -206,6 +206,25 @@ def test_copies_of_test_items(spark):
     assert {(row.doc_id, row.item_id) for row in sliced.collect()} == set(found)
 
 
+def test_copies_that_hundreds_of_documents_carry(spark):
+    item = [f"q{n}" for n in range(40)]
+    copy = [*item[:7], "changed", *item[8:23], "other", *item[24:]]
+    spread = [word for n, word in enumerate(item) for word in ([word, "more"] if n % 8 == 7 and n < 39 else [word])]
+    apart = [*item[:20], *["inserted"] * 30, *item[20:]]
+    shapes = [copy, item[:34], spread, apart]
+    rows = [(1000 * kind + n, f"a{n} b{n} {' '.join(shape)} c{n}") for kind, shape in enumerate(shapes) for n in range(400)]
+    # Half of an item is no copy; its grams are the commonest.
+    rows += [(9000 + n, f"x{n} {' '.join(item[:20])} y{n}") for n in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    for part in (docs, docs.where("doc_id < 1000 or doc_id >= 9000"), docs.where("doc_id < 9000 and doc_id >= 3000")):
+        found = {row.doc_id: row for row in decontaminate.contaminated(part, benchmark).collect()}
+        assert set(found) == {row.doc_id for row in part.collect() if row.doc_id < 9000}
+        for row in found.values():
+            assert row.score == pytest.approx(brute_score(item, shapes[row.doc_id // 1000]) / 40)
+            assert (row.first_word, row.last_word) == (2, 1 + len(shapes[row.doc_id // 1000]))
+
+
 def test_decontamination_of_odd_rows(spark):
     item = " ".join(f"q{n}" for n in range(12))
     rows = [(1, None, 1), (2, "", 1), (3, item, 1), (3, item, 1), (None, item, 1), (6, "x " * 100_000 + item, 1), (7, "clean", 1)]
