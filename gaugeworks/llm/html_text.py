@@ -4,10 +4,10 @@ Markup is stripped so that each block element's text is one line. The lengths of
 windows. A surge, a line whose window sum reaches the threshold, opens a run of text; it ends at a dive, where the
 sums fall below the threshold. The run with most text is kept, with the runs that belong to it.
 
-What a page's markup says is used first: scripts, styles, forms and other parts that are never prose are cut out;
-menus, headers, footers, sidebars, notices, adverts and comments are cut out where an element's name, role, class or id
-says so, and leave empty lines behind. If there is an article or main element, the lines in it weigh more and others
-nothing, so that its short headings belong to the text they stand by.
+Scripts, styles, forms and other parts that are never prose are cut out first; menus, headers, footers and sidebars are
+cut out where an element's name or role says so, and leave empty lines behind. Classes and ids are hints: an element with
+a label is cut out unless it holds an article or main element or most of the page's text. Lines in an article or main element
+weigh more than others, up to a bound: where text outside weighs more, the element does not matter.
 """
 
 from __future__ import annotations
@@ -21,6 +21,11 @@ from gaugeworks.llm.common import per_text
 
 WINDOW = 3
 LEAST = 60
+#: A line in a main element counts so many times; a run past a break stays if its lines have so many characters on average.
+MAIN_WEIGHT = 4
+DENSE = 30
+#: Of deeper nesting, only so many containers are told apart, and labels read.
+DEEPEST = 64
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
@@ -34,6 +39,7 @@ BLOCKS = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("article body center details div fieldset main section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 LABELS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners "
@@ -42,6 +48,10 @@ LABELS = frozenset(
     "pagination pager comment comments commentlist disqus reply replies respond discussion share sharing social related "
     "recommended recommendations widget widgets copyright disclaimer teaser teasers tags tagcloud skip".split()
 )
+#: Sections of an article are called like this too.
+AMBIGUOUS = frozenset("discussion related notice notices".split())
+#: The page itself, headings and paragraphs.
+UNLABELLED = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup li td th dt dd tr blockquote pre figcaption caption".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -51,7 +61,7 @@ _CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt
 
 
 def _is_aside(name: str, attributes: str) -> bool:
-    """Whether an element's name, role, class or id says that it is no main text."""
+    """Whether an element's name or role says that it is no main text."""
     if name in ASIDE:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
@@ -60,40 +70,63 @@ def _is_aside(name: str, attributes: str) -> bool:
         attribute, value = attribute.lower(), value.strip("\"'")
         if attribute == "role" and value.lower() in ROLES:
             return True
-        if attribute in ("class", "id") and LABELS.intersection(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
         if attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, in main element) per block, in page order; cut-out parts leave empty lines. One pass over the page."""
-    lines: list[tuple[str, bool]] = []
+def _is_labelled(name: str, attributes: str) -> bool:
+    """Whether a whole token of an element's class or id is made of labels. It is a hint only, and none in running text."""
+    if not attributes or name in UNLABELLED:
+        return False
+    for attribute, value in _ATTRIBUTE.findall(attributes):
+        if attribute.lower() in ("class", "id"):
+            for token in value.strip("\"'").split():
+                words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+                if words and LABELS.issuperset(words) and not AMBIGUOUS.issuperset(words):
+                    return True
+    return False
+
+
+def lines_of(page: str) -> list[tuple[str, bool, tuple]]:
+    """(text, in main element, containers from the page down) per block, in page order; cut-out parts leave empty lines. One
+    pass over the page; which labelled elements are cut out is told by what they turn out to hold."""
+    lines: list[tuple[str, bool, tuple]] = []
+    within: list[tuple] = []  # labelled elements around each line
     parts: list[str] = []
-    open_elements: list[tuple[str, bool, bool]] = []  # name, cut out, main
-    cut = main = 0
+    # name, cut out, main, labelled, container
+    open_elements: list[tuple[str, bool, bool, int | None, int | None]] = []
+    labelled: list[list] = []  # text, holds a main element
+    hints: tuple[int, ...] = ()
+    place: tuple[int, ...] = ()
+    cut = main = number = unread = 0
 
     def end_line(empty: bool = False) -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            lines.append((text, main > 0))
-        if empty:
-            lines.append(("", main > 0))
+        for blank in ([] if not text else [text]) + [""] * empty:
+            lines.append((blank, main > 0, place))
+            within.append(hints)
+        for hint in hints:
+            labelled[hint][0] += len(text)
 
     def close(count: int) -> None:
-        nonlocal cut, main
+        nonlocal cut, main, hints, place
         for _ in range(count):
-            _, was_cut, was_main = open_elements.pop()
+            _, was_cut, was_main, hint, container = open_elements.pop()
             cut -= was_cut
             main -= was_main
+            hints = hints[:-1] if hint is not None else hints
+            place = place[:-1] if container is not None else place
 
     at = 0
     while True:
         tag = _TAG.search(page, at)
+        read = page[at : tag.start() if tag else len(page)]
         if not cut:
-            parts.append(page[at : tag.start() if tag else len(page)])
+            parts.append(read)
+        else:
+            unread += len(read.strip())
         if tag is None:
             break
         at = tag.end()
@@ -119,65 +152,111 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if name in VOID or attributes.endswith("/"):
             continue
         out = name in UNSEEN or _is_aside(name, attributes)
-        if out and not cut:
+        hint = not cut and not out and len(hints) < DEEPEST and _is_labelled(name, attributes)
+        if (out or hint) and not cut:
             end_line(empty=name not in UNSEEN)
         if name in _RAW:
             end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        is_main = name in MAIN and not cut
-        open_elements.append((name, out, is_main))
+        is_main = name in MAIN and not cut and not out
+        if is_main and not hint:
+            for outer in hints:
+                labelled[outer][1] = True
+        if hint:
+            labelled.append([0, False])
+            hints += (len(labelled) - 1,)
+        container = None
+        if name in CONTAINERS and len(place) < DEEPEST:
+            number += 1
+            container = number
+            place += (number,)
+        open_elements.append((name, out, is_main, len(labelled) - 1 if hint else None, container))
         cut += out
         main += is_main
     end_line()
-    return lines
+    whole = unread + sum(len(text) for text, _, _ in lines)
+    gone = {hint for hint, (size, holds_main) in enumerate(labelled) if not holds_main and 2 * size <= whole}
+    return [("", inside, where) if gone.intersection(around) else (text, inside, where) for (text, inside, where), around in zip(lines, within)]
 
 
-def _kept(weights: list[int], breaks: list[bool]) -> list[bool]:
+def _runs(weights: list[int], sides: list[bool], least: int) -> list[tuple[int, int]]:
+    """(first line, line after the last) from each surge to its dive; a run does not reach into or out of main elements."""
+    runs, at = [], 0
+    while at < len(weights):
+        end = at
+        while end < len(weights) and sides[end] == sides[at]:
+            end += 1
+        start = None
+        for n in range(at, end + 1):
+            total = sum(weights[max(at, n - WINDOW + 1) : min(end, n + WINDOW)]) if n < end else 0
+            if start is None and total >= least:
+                start = n
+            elif start is not None and total < least:
+                runs.append((start, n))
+                start = None
+        at = end
+    return runs
+
+
+def _kept(lines: list[tuple[str, bool, tuple]]) -> list[bool]:
     """Which lines lie between a surge and a dive that are kept.
 
-    The run with most text is kept, with every run (and what lies between) that no break parts from it, and every run with
-    a fifth of its text or more: an advert inside an article parts its paragraphs.
+    The run that weighs most is kept. Another one is kept if no break parts it from a kept one, if it stands in the same
+    container or in one next to it, or if it is dense; what lies between two kept runs of one place stays with them. If the
+    heaviest run is in a main element, those outside are not its text.
     """
-    sums = [sum(weights[max(0, n - WINDOW + 1) : n + WINDOW]) for n in range(len(weights))]
-    runs, start = [], None
-    for n, total in enumerate([*sums, 0]):
-        if start is None and total >= LEAST:
-            start = n
-        elif start is not None and total < LEAST:
-            runs.append((start, n))
-            start = None
-    keep = [False] * len(weights)
-    if runs:
-        mass = [sum(weights[first:last]) for first, last in runs]
-        best = max(range(len(runs)), key=lambda run: (mass[run], -run))
-        kept = [run for run in range(len(runs)) if 5 * mass[run] >= mass[best]]
-        for step in (-1, 1):
-            run = best
-            while 0 <= run + step < len(runs):
-                left, right = sorted((run, run + step))
-                if any(breaks[runs[left][1] : runs[right][0]]):
-                    break
-                run += step
-                kept += [run]
-                keep[runs[left][1] : runs[right][0]] = [True] * (runs[right][0] - runs[left][1])
-        for run in kept:
-            keep[slice(*runs[run])] = [True] * (runs[run][1] - runs[run][0])
+    sizes = [len(text) for text, _, _ in lines]
+    sides = [main for _, main, _ in lines]
+    weights = [size * (MAIN_WEIGHT if main else 1) for size, main in zip(sizes, sides)]
+    keep = [False] * len(lines)
+    # On a page of short lines only, any text is a surge, if it is more than a word.
+    runs = _runs(weights, sides, LEAST) or [run for run in _runs(weights, sides, 1) if any(" " in lines[n][0] for n in range(*run)) or sum(map(bool, sizes[slice(*run)])) > 1]
+    if not runs:
+        return keep
+    mass = [sum(weights[first:last]) for first, last in runs]
+    best = max(range(len(runs)), key=lambda run: (mass[run], -run))
+    inside = sides[runs[best][0]]
+    runs, top = [run for run in runs if sides[run[0]] or not inside], runs[best]
+    places = [lines[max(range(*run), key=sizes.__getitem__)][2] for run in runs]
+    best = runs.index(top)
+
+    def near(a: tuple, b: tuple) -> bool:
+        return a[: len(b)] == b or b[: len(a)] == a or a[:-1] == b[:-1]
+
+    def dense(run: tuple[int, int]) -> bool:
+        held = [size for size in sizes[slice(*run)] if size]
+        return sum(held) >= DENSE * len(held)
+
+    kept = {run for run in range(len(runs)) if run == best or near(places[run], places[best]) or dense(runs[run])}
+    for step in (-1, 1):
+        run = best
+        while 0 <= run + step < len(runs):
+            left, right = sorted((run, run + step))
+            between = slice(runs[left][1], runs[right][0])
+            whole = all(sizes[between])
+            if whole and run in kept:
+                kept.add(run + step)
+            run += step
+    for run in kept:
+        keep[slice(*runs[run])] = [True] * (runs[run][1] - runs[run][0])
+        if run + 1 in kept and (near(places[run], places[run + 1]) or all(sizes[runs[run][1] : runs[run + 1][0]])):
+            for n in range(runs[run][1], runs[run + 1][0]):
+                keep[n] = sides[n] or not inside
+    if inside:
+        # Short first and last lines of a main element are its text as well.
+        for n in range(len(lines)):
+            keep[n] = keep[n] or sides[n] and any(near(lines[n][2], places[run]) for run in kept)
     return keep
 
 
 def main_text(page: str | None) -> str:
     """The text of one page; empty if there is none. Pages with null or empty markup have none.
 
-    A line weighs as much as its text is long. If a page has a main element with text, lines outside it weigh nothing and
-    those in it ``LEAST`` at least, so that sums surge at its first line and dive after its last one.
+    A line weighs as much as its text is long, ``MAIN_WEIGHT`` times that in a main element.
     """
     lines = lines_of((page or "").replace("\r\n", "\n"))
-    inside = any(text and main for text, main in lines)
-    weights = [(max(len(text), LEAST if inside else 0) if main or not inside else 0) if text else 0 for text, main in lines]
-    # Cut-out parts are breaks, unless a main element says what belongs together.
-    keep = _kept(weights, [not text and not inside for text, _ in lines])
-    return " ".join(text for (text, _), weight, kept in zip(lines, weights, keep) if kept and weight)
+    return " ".join(text for (text, _, _), kept in zip(lines, _kept(lines)) if kept and text)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

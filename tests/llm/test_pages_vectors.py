@@ -43,6 +43,21 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div id=page class='site has-sidebar'><article><p>{LONG}</article></div>", LONG),
+        (f"<div id=page class='sidebar'><article><p>{LONG}</article></div>", LONG),
+        (f"<div class='header-fixed wrapper'><p>{LONG}<p>{LONG}</div>", f"{LONG} {LONG}"),
+        (f"<div class='header'><p>{LONG}<p>{LONG}</div><p>{LONG}", f"{LONG} {LONG} {LONG}"),
+        (f"<article><h2 id=related-work>Work</h2><p class=notice>{LONG}<section id=discussion><p>{LONG}</section></article>", f"Work {LONG} {LONG}"),
+    ],
+)
+def test_labels_are_hints(page, text):
+    assert html_text.main_text(page) == text
+    assert html_text.main_text("<div class=ad>" * 20_000 + LONG) == LONG
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p>" + "word " * 40_000, 1), (3, "u", "<p>x", 1), (None, "u", f"<p>{LONG}", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
