@@ -58,6 +58,18 @@ def test_labels_are_hints(page, text):
     assert html_text.main_text("<div class=ad>" * 20_000 + LONG) == LONG
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}<p>{LONG}</article><article class='comment'><p>{LONG}</article>", f"{LONG} {LONG}"),
+        ("<article><p>See also</article><div>" + f"<p>{LONG}" * 5 + "</div>", " ".join([LONG] * 5)),
+        (f"<article><p>{LONG}</article><div>" + f"<p>{LONG}" * 3 + "</div>", LONG),
+    ],
+)
+def test_main_elements_weigh_more_up_to_a_bound(page, text):
+    assert html_text.main_text(page).endswith(text) and len(html_text.main_text(page)) <= len(text) + 9
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p>" + "word " * 40_000, 1), (3, "u", "<p>x", 1), (None, "u", f"<p>{LONG}", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
