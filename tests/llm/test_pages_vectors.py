@@ -70,6 +70,19 @@ def test_main_elements_weigh_more_up_to_a_bound(page, text):
     assert html_text.main_text(page).endswith(text) and len(html_text.main_text(page)) <= len(text) + 9
 
 
+CELLS = "<table>" + "<tr><td>1<td>2" * 8 + "</table>"
+
+
+@pytest.mark.parametrize("times", [3, 20, 200])
+def test_later_runs_do_not_depend_on_the_largest(times):
+    page = "<div>" + f"<p>{LONG}" * times + f"{CELLS}<div class=ad>x</div>{CELLS}<h2>Last</h2><p>{LONG}<p>{LONG}</div>"
+    assert html_text.main_text(page) == " ".join([LONG] * times + ["1 2"] * 16 + ["Last", LONG, LONG])
+
+
+def test_short_pages_have_a_text():
+    assert html_text.main_text("<div><h1>Closed</h1><p>Back on Monday.</div>") == "Closed Back on Monday."
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p>" + "word " * 40_000, 1), (3, "u", "<p>x", 1), (None, "u", f"<p>{LONG}", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
