@@ -25,7 +25,6 @@ CERTAIN = 0.9
 #: Replaces a span in ``redact``.
 MARKS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 _DIGITS = {"email": (0, 99), "ip": (4, 12), "card": (14, 19), "phone": (7, 15)}
-_SPELLED = re.compile(r"@|\bat\b", re.I)
 
 
 def _invented(random: np.random.Generator) -> list[tuple[str, str | None]]:
@@ -38,6 +37,10 @@ def _invented(random: np.random.Generator) -> list[tuple[str, str | None]]:
         return "".join(chr(97 + c) for c in random.integers(0, 26, n))
 
     name, host = f"{letters(random.integers(3, 8))}.{digits(2)}", f"{letters(random.integers(3, 7))}{digits(1)}.{letters(3)}"
+    plain = f"{letters(random.integers(3, 12))}.{letters(random.integers(3, 12))}"
+    place = ["", f"{letters(random.integers(3, 9))}-"][random.integers(2)] + letters(random.integers(3, 10)) + ["", digits(2)][random.integers(2)]
+    short, host_only = f"{letters(random.integers(3, 7))}.{letters(random.integers(2, 7))}", f"{letters(random.integers(4, 9))}"
+    place += "." + ["com", "org", "net", letters(2), letters(3)][random.integers(5)]
     parts = [str(n) for n in random.integers(1, 255, 4)]
     fours = [digits(4) for _ in range(4)]
     number = [digits(3), digits(3), digits(4)]
@@ -45,6 +48,12 @@ def _invented(random: np.random.Generator) -> list[tuple[str, str | None]]:
         (f"{name}@{host}.com", "email"),
         (f"{name} (at) {host}.com", "email"),
         (f"{name}[at]{host}.com", "email"),
+        (f"{plain} (at) {place}", "email"),
+        (f"{plain}[at]{place}", "email"),
+        (f"{short} (at) {host_only}.com", "email"),
+        (f"{short}[at]{host_only}.org", "email"),
+        (f"{plain} at {letters(random.integers(2, 8))}. {letters(random.integers(2, 6)).title()}", None),
+        (f"at {letters(random.integers(2, 8))}. At {letters(random.integers(2, 6))} (at {letters(random.integers(2, 8))}).", None),
         (".".join(parts), "ip"),
         ("[.]".join(parts), "ip"),
         ("".join(fours), "card"),
@@ -133,13 +142,13 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, windows:
 def _fits(text: str, kind: str) -> bool:
     digits = sum(c.isdigit() for c in text)
     least, most = _DIGITS[kind]
-    return least <= digits <= most and (kind != "email" or (_SPELLED.search(text) is not None and "." in text))
+    return least <= digits <= most and (kind != "email" or (pii_model.SPELLED.search(text) is not None and "." in text))
 
 
 def spans_of(texts: list[str], parameters: dict) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text, as (start, end, kind)."""
     seen = [pii_rules.candidates(text) for text in texts]
-    asked = [n for n, text in enumerate(texts) if pii_rules.may_hold_any(text)]
+    asked = [n for n, text in enumerate(texts) if pii_rules.may_hold_any(text) or pii_model.SPELLED.search(text)]
     found = dict(zip(asked, pii_model.decode(parameters, [texts[n] for n in asked])))
     out = []
     for n, text in enumerate(texts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from gaugeworks.llm.pii_rules import KINDS
@@ -12,6 +14,10 @@ WINDOW, STRIDE = 48, 24
 _PRINTABLE = {chr(code): code - 31 for code in range(32, 127)}
 CHARACTERS = 99  # 0 is padding; then printable ones, white space, letters and others
 _BLOCKED = -1e4
+#: An at sign, or the word that stands for it.
+SPELLED = re.compile(r"@|\bat\b", re.I)
+#: A span that comes so near to the edge of what was run may go on beyond it.
+EDGE = 8
 
 
 def ids_of(text: str) -> np.ndarray:
@@ -198,19 +204,35 @@ def best_tags(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 def decode(parameters: dict, texts: list[str], at_a_time: int = 512) -> list[list[tuple[int, int, str, float]]]:
     """Spans (start, end, kind, certainty) of each text.
 
-    Windows lie on a fixed grid and overlap by half. A span of any kind holds a digit or an at sign, so windows without
-    one are outside as a whole and are not run. The scores of a character from its windows are averaged, more the nearer it
-    is to the middle; one Viterbi path runs over each stretch of windows, so no span is cut where windows meet.
+    Windows lie on a fixed grid and overlap by half. A span of any kind holds a digit, an at sign or the word in its place,
+    so the windows around those are run, and the next ones wherever a span reaches the edge of what was run. The scores of a
+    character from its windows are averaged, more the nearer it is to the middle; one Viterbi path runs over each stretch
+    of windows, so no span is cut where windows meet.
     """
-    places, windows = [], []
-    numbers = []
-    for n, text in enumerate(texts):
-        ids = ids_of(text) if text else np.zeros(0, np.int64)
-        numbers.append(ids)
-        marks = np.nonzero(((ids >= 17) & (ids <= 26)) | (ids == 33))[0]
-        near = {int(mark) // STRIDE for mark in marks}
-        near |= {block - 1 for block in near if block > 0}
-        places += [(n, block * STRIDE) for block in sorted(near)]
+    numbers = [ids_of(text) if text else np.zeros(0, np.int64) for text in texts]
+    blocks: list[set[int]] = []
+    for text, ids in zip(texts, numbers):
+        near = {int(mark) // STRIDE for mark in np.nonzero((ids >= 17) & (ids <= 26))[0]}
+        near |= {match.start() // STRIDE for match in SPELLED.finditer(text or "")}
+        blocks.append(near | {block - 1 for block in near if block > 0})
+    spans: list[list] = [[] for _ in texts]
+    asked = [n for n, near in enumerate(blocks) if near]
+    while asked:
+        found = _decode(parameters, [numbers[n] for n in asked], [blocks[n] for n in asked], at_a_time)
+        again = []
+        for n, (made, wider) in zip(asked, found):
+            spans[n] = made
+            if not wider <= blocks[n]:
+                blocks[n] = blocks[n] | wider
+                again.append(n)
+        asked = again
+    return spans
+
+
+def _decode(parameters: dict, numbers: list[np.ndarray], blocks: list[set[int]], at_a_time: int) -> list[tuple[list, set[int]]]:
+    """The spans of each text over its blocks, and the blocks that those at an edge ask for."""
+    places = [(n, block * STRIDE) for n, near in enumerate(blocks) for block in sorted(near)]
+    windows = []
     for n, start in places:
         window = np.zeros(WINDOW, np.int64)
         part = numbers[n][start : start + WINDOW]
@@ -219,7 +241,7 @@ def decode(parameters: dict, texts: list[str], at_a_time: int = 512) -> list[lis
     scores = [emissions(parameters, np.array(windows[a : a + at_a_time])) for a in range(0, len(windows), at_a_time)]
     scores = np.concatenate(scores).astype(np.float64) if scores else np.zeros((0, WINDOW, TAGS))
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)[:, None]
-    moves, spans = _moves(parameters), [[] for _ in texts]
+    moves, spans = _moves(parameters), [([], set()) for _ in numbers]
     first = 0
     while first < len(places):
         last = first
@@ -233,7 +255,12 @@ def decode(parameters: dict, texts: list[str], at_a_time: int = 512) -> list[lis
             total[at : at + WINDOW] += weight * scores[which]
             heavy[at : at + WINDOW] += weight
         mean = total[:size] / heavy[:size]
-        spans[n] += _spans(best_tags(mean, moves), marginals(mean[None], moves)[0], base)
+        made = _spans(best_tags(mean, moves), marginals(mean[None], moves)[0], base)
+        spans[n][0].extend(made)
+        if base > 0 and any(start < base + EDGE for start, _, _, _ in made):
+            spans[n][1].add(base // STRIDE - 1)
+        if base + size < len(numbers[n]) and any(end > base + size - EDGE for _, end, _, _ in made):
+            spans[n][1].add(places[last][1] // STRIDE + 1)
         first = last + 1
     return spans
 

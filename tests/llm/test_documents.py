@@ -92,6 +92,19 @@ def test_the_model_finds_what_rules_find_and_adds_variants(spark, trained):
     assert sum(len(added) for _, added in pii.spans_of(texts, trained)) <= 2
 
 
+def test_spelled_out_addresses_without_digits(trained):
+    found = want = 0
+    for shift in range(0, 48, 5):
+        for address in ("jane.doe (at) example.com", "maria.lopez[at]company.org", "firstname.lastname (at) company-name12.com"):
+            text = "word " * 8 + "w" * shift + f" write to {address} today" + " word" * 20
+            at = text.index(address)
+            want += 1
+            found += (at, at + len(address), "email") in pii.spans_of([text], trained)[0][1]
+    assert found >= 0.9 * want
+    plain = ["We met at noon. Then we stayed at home (at last).", "Look at this. At the end, all is well at work."]
+    assert all(not added for _, added in pii.spans_of(plain, trained))
+
+
 def test_spans_do_not_depend_on_windows(trained):
     phone = "+1 (415) 555-0199"
     for shift in range(0, 60, 7):
