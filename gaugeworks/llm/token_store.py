@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import write_down
+from gaugeworks.llm.parts import library_encoder, pieces_of
 from gaugeworks.session import shared_folder
 
 FRAME_IDS = 1 << 15
 LEVEL = 1
-MAX_REMEMBERED = 400_000
 # Magic numbers of skippable frames and of the seek table.
 _SKIPPABLE_DOCS, _SKIPPABLE_SEEK, _SEEK_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _DOC, _FRAME, _FOOT, _HEAD = struct.Struct("<BqI"), struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
@@ -135,35 +135,6 @@ class Reader:
             at, number = first + len(raw), number + 1
 
 
-def _encoder(path: str):
-    """Encodes a list of texts with the tokenizers library. Its file's words end at blanks, so each part between blanks is
-    encoded by the library once and remembered."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    steps = str(library.normalizer) + str(library.pre_tokenizer)
-    if "Replace" not in steps or 'invert=True' not in steps:
-        raise ValueError("words of this vocabulary file do not end at blanks")
-    known: dict[str, bytes] = {"": b""}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
-        new = list({part for parts in cut for part in parts if part not in known})
-        found = library.encode_batch_fast(new, add_special_tokens=False)
-        here = {part: np.array(made.ids, dtype="<u4").tobytes() for part, made in zip(new, found)}
-        encoded = [b"".join([known[part] if part in known else here[part] for part in parts]) for parts in cut]
-        if len(known) < MAX_REMEMBERED:
-            known.update((part, ids) for part, ids in here.items() if len(part) < 64)
-        return encoded
-
-    return encode
-
-
-_ENCODERS: dict[str, object] = {}
-
-
 def _file_system(folder: str):
     from pyarrow.fs import FileSystem
 
@@ -185,7 +156,7 @@ def write_tokens(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _encoder(path))
+        encoder = library_encoder(path, False)
         part = TaskContext.get().partitionId()
         files, base = _file_system(folder)
         ending = b"" if end_id is None else struct.pack("<I", end_id)
@@ -194,17 +165,17 @@ def write_tokens(
         name = f"{base}/part-{part:06d}.zst"
         attempt = f"{base}/.{uuid.uuid4().hex}"
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
+            for piece in pieces_of(batch, 1):
                 if writer is None and piece.num_rows:
                     files.create_dir(base)
                     out = files.open_output_stream(attempt)
                     writer = Writer(out)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encode(texts)):
-                    writer.add(doc_id, ids + ending)
-                    docs_seen += 1
-                    ids_seen += len(ids + ending) // 4
+                ids, counts = encoder.encode(piece.column(1).fill_null(""))
+                ends = np.cumsum(counts)
+                for doc_id, first, last in zip(piece.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist()):
+                    writer.add(doc_id, ids[first:last].tobytes() + ending)
+                docs_seen += piece.num_rows
+                ids_seen += len(ids) + piece.num_rows * (len(ending) // 4)
         if writer is not None:
             writer.close()
             out.close()
@@ -213,9 +184,9 @@ def write_tokens(
                 {"part": [part], "file": [name], "n_docs": [docs_seen], "n_ids": [ids_seen]}
             )
 
-    # The ranges are found from the ids alone; texts are encoded where they then lie.
-    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    sorted_docs = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The ranges are found from the ids alone; texts are encoded where they then lie. Rows that repeat an id are parted by text.
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    sorted_docs = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return write_down(sorted_docs.mapInArrow(run, "part long, file string, n_docs long, n_ids long"))
 
 
