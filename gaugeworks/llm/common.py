@@ -77,6 +77,15 @@ def components(links: DataFrame, vertex: str = "node") -> DataFrame:
             return labels.select(F.col("n").alias(vertex), F.col("c").alias("component"))
 
 
+def rows_with(docs: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with the only column of ``keys``, ``left_semi`` or ``left_anti``, whatever its columns are called."""
+    name = "wanted"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    wanted = keys.toDF(name)
+    return docs.join(wanted, docs[key] == wanted[name], how)
+
+
 def unsigned_hex(value: Column) -> Column:
     """A long as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import write_down
+from gaugeworks.llm.common import rows_with, write_down
 
 SEED_WORDS = 5
 STRETCH = 10
@@ -228,4 +228,4 @@ def _pass(spark, texts: DataFrame, items: Items, similarity: float, fields: str)
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item; columns are those of ``docs``. Rows with a null key stay."""
     found = write_down(contaminated(docs, benchmark, key=key, text=text).select("doc_id").distinct())
-    return docs.join(found.withColumnRenamed("doc_id", "rejected_id"), F.col(key) == F.col("rejected_id"), "left_anti")
+    return rows_with(docs, key, found, "left_anti")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import per_text, write_down
+from gaugeworks.llm.common import per_text, rows_with, write_down
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "lower", "digit", "space", "line_ends", "sentence_marks", "exclamations",
@@ -131,7 +131,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def _fold(key):
-    return (F.abs(F.xxhash64(key)) % FOLDS).cast("int")
+    return F.pmod(F.xxhash64(key), F.lit(FOLDS)).cast("int")
 
 
 def fit(training: DataFrame) -> Model:
@@ -249,5 +249,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def reject(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``rejected.doc_id``."""
-    gone = rejected.select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(gone, F.col(key) == F.col("rejected_id"), "left_anti")
+    return rows_with(docs, key, rejected.select("doc_id").distinct(), "left_anti")

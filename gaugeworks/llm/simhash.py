@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import components, per_text, unsigned_hex, write_down
+from gaugeworks.llm.common import components, per_text, rows_with, unsigned_hex, write_down
 from gaugeworks.llm.fingerprint import fingerprint_of
 
 MAX_BITS = 2
@@ -86,7 +86,7 @@ def close_pairs(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Spread over the fingerprints too, as a crowded key may have many rows.
     salted = shared.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    salt = (F.abs(F.xxhash64("bits")) % 16).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("bits"), F.lit(16)).cast("int").alias("salt")
     shared_rows = write_down(keyed.select("*", salt).join(salted, ["key", "salt"]).select("key", "n", "bits"))
     few = shared_rows.where(F.col("n") <= crowd).select("key", "bits", distance_table(F.col("bits")).alias("table"))
     left = few.select("key", F.col("bits").alias("a"), F.col("table").alias("ta"))
@@ -112,10 +112,8 @@ def close_pairs(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
-    """One row per document: (doc_id, fingerprint, component_id, n_links).
+    """One row per document: (doc_id, fingerprint, component_id), the latter the smallest doc_id that links reach.
 
-    ``component_id`` is the smallest doc_id that links reach, ``n_links`` the number of links found from
-    the document's fingerprint to other fingerprints (in crowds only the links that join the crowd up).
     Null and empty texts have fingerprint zero and are linked like any others. Rows with a null key get the
     component of their fingerprint, null if no row of it has a key. Repeated rows repeat. An empty table
     gives an empty one. Columns other than the two named are not read.
@@ -124,24 +122,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cr
     distinct = write_down(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
     links = write_down(close_pairs(distinct, crowd))
     found = components(links)
-    both = links.select(F.col("a").alias("bits")).union(links.select(F.col("b").alias("bits")))
-    degree = both.groupBy("bits").agg(F.count("*").alias("n_links"))
     # Only linked fingerprints are re-labelled; the others keep their own first document.
-    linked = (
-        found.join(distinct, F.col("node") == F.col("bits")).select("bits", "component", "first").join(degree, "bits")
-    )
+    linked = found.join(distinct, F.col("node") == F.col("bits")).select("bits", "component", "first")
     smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = write_down(linked.join(smallest, "component").select("bits", "component_id", "n_links"))
+    labels = write_down(linked.join(smallest, "component").select("bits", "component_id", F.lit(True).alias("is_linked")))
     classes = distinct.join(labels, "bits", "left").select(
         "bits",
-        F.when(F.col("n_links").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"),
     )
     # One fingerprint may have a third of all documents: its rows go to 32 places.
     spread = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt"))
-    salted = marked.withColumn("salt", (F.abs(F.xxhash64("doc_id")) % 32).cast("int"))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
     return salted.join(spread, ["bits", "salt"]).select(
-        "doc_id", unsigned_hex(F.col("bits")).alias("fingerprint"), "component_id", "n_links"
+        "doc_id", unsigned_hex(F.col("bits")).alias("fingerprint"), "component_id"
     )
 
 
@@ -152,5 +145,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = near_duplicates(docs, key, text)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    stays = docs.join(first.withColumnRenamed("doc_id", "kept_id"), F.col(key) == F.col("kept_id"), "left_semi")
+    stays = rows_with(docs, key, first, "left_semi")
     return stays.dropDuplicates([key]).union(docs.where(F.col(key).isNull()))

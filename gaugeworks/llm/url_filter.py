@@ -56,7 +56,7 @@ def _rule(host: Column, path: Column, rules: tuple, pick) -> Column:
 
 
 def _salt(of: str) -> Column:
-    return (F.abs(F.xxhash64(of)) % SALTS).cast("int")
+    return F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
 
 
 def _spread(small: DataFrame) -> DataFrame:
