@@ -222,7 +222,8 @@ def read_tokens(written: DataFrame, folder: str) -> DataFrame:
 
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = written.select("file", before.alias("base"))
-    spread = places.repartition(F.col("file"))
+    # As many tasks as files, up to a bound: by their few bytes alone all would be put into one.
+    spread = places.repartition(max(1, min(written.count(), 10_000)), "file")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
