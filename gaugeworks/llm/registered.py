@@ -5,7 +5,21 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import bpe, decontaminate, html_text, pii, quality, simhash, token_counts, token_store, top_k, url_filter
+from gaugeworks.llm import (
+    bpe,
+    collocations,
+    decontaminate,
+    html_text,
+    packing,
+    pii,
+    quality,
+    repair,
+    simhash,
+    token_counts,
+    token_store,
+    top_k,
+    url_filter,
+)
 from gaugeworks.llm.common import table, vocabulary
 
 
@@ -50,6 +64,18 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages"))
 
 
+def op11_repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+def op13_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -63,9 +89,13 @@ QUERIES = {
         op8_top_inner_products,
         op9_url_verdicts,
         op10_main_text,
+        op11_repaired_conversations,
+        op12_collocations,
+        op13_packed_sequences,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op8_top_inner_products": top_k.oracle(),
     "op9_url_verdicts": url_filter.oracle(),
+    "op12_collocations": collocations.oracle(),
 }
