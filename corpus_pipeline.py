@@ -1,4 +1,4 @@
-"""From raw documents to token ids: quality, near-duplicates, benchmark copies, personal data, BPE.
+"""From raw documents to token ids: quality, SimHash near-duplicates, benchmark copies, personal data, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next one.
 All but the last return the columns of ``documents``.
@@ -11,28 +11,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, pii, quality, shingle_sets
+from gaugeworks.llm import bpe, decontaminate, pii, quality, simhash
 from gaugeworks.llm.common import table, vocabulary
 from gaugeworks.session import shared_folder
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like others. Rows with a null ``doc_id`` stay; rows that repeat a ``doc_id`` go together if
+    one of them is rejected. Columns may be called anything; an empty table gives an empty one.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs with a five-word Jaccard similarity of 0.8 or more join up."""
-    return shingle_sets.keep_one(docs)
+    """The document with the smallest ``doc_id`` of each group that SimHash links join up, with the operator's shingle length
+    and bit distance.
+
+    Null and empty texts have fingerprint zero and make one group. Rows with a null ``doc_id`` stay; of rows that repeat one, one
+    stays. Columns may be called anything; an empty table gives an empty one.
+    """
+    return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Null and empty texts and rows with a null ``doc_id`` stay; rows that repeat a ``doc_id`` go together. Columns may be called
+    anything; an empty table gives an empty one.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with marks in place of personal data; ``n_chars`` follows the text."""
+    """Documents with marks in place of personal data; ``n_chars`` follows the text.
+
+    Every row stays, repeated ones and null ids too. Null texts stay null and keep their ``n_chars``; empty texts stay empty.
+    Columns may be called anything; an empty table gives an empty one.
+    """
     redacted = pii.redact(docs, pii.fit(docs))
     if "n_chars" not in redacted.columns:
         return redacted
@@ -41,20 +58,17 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text, and digests of them and of what they decode to."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text, and digests of them and of what they decode to.
+
+    One row per row; null and empty texts have no ids; null ids and repeated rows pass through; an empty table gives an empty one.
+    """
     trips = bpe.round_trip(docs, vocabulary("word_bpe_49k.json"))
-    return trips.select(
-        "doc_id",
-        "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return bpe.digests(trips, "ids")
 
 
 STAGES = [
     ("quality classifier", good_documents),
-    ("near-dedup", one_of_each),
+    ("SimHash near-dedup", one_of_each),
     ("benchmark decontamination", without_benchmark),
     ("personal data", without_personal_data),
     ("bpe encoding", as_tokens),
