@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeworks.llm.common import write_down
-from gaugeworks.llm.parts import pieces_of
+from gaugeworks.llm.parts import pieces_of, strings
 
 LEAST, WORDS, TOP, COVERED = 30, 4, 2000, 80
 #: Phrases in one trie.
@@ -166,7 +166,7 @@ def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter)
         at = words.together(length)
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        single = _hashes(lang, words.distinct.to_pylist())
+        single = _hashes(lang, strings(words.distinct))
         fine = words_sent.value.holds(single)
         frequent = fine[words.which]
         ok = frequent[at]
@@ -310,7 +310,7 @@ def count_phrases(texts: DataFrame, phrases: DataFrame, shard: int = SHARD) -> D
             counts = np.zeros(size, np.int64)
             for lang, words in _by_language(batches):
                 known = ids.get(lang, {})
-                numbers = np.fromiter((known.get(word, 0) for word in words.distinct.to_pylist()), np.int32, len(words.distinct))
+                numbers = np.fromiter((known.get(word, 0) for word in strings(words.distinct)), np.int32, len(words.distinct))
                 trie.count(numbers[words.which], words.piece, counts)
             place = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], ["place", "n"])

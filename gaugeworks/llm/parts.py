@@ -21,7 +21,7 @@ GENERATION = 250_000
 #: Longer parts are encoded anew each time.
 LONGEST = 64
 #: Bytes of text that are cut at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 8 << 20
 #: Characters that are white space by Unicode or by Python.
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -84,14 +84,14 @@ class PartEncoder:
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         parts, sizes = self._cut(texts)
         coded = parts.dictionary_encode()
-        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        which, words = coded.indices.to_numpy(), strings(coded.dictionary)
         if self.blank_leads:
             # No blank leads the first part of a text.
             places = np.cumsum(sizes) - sizes
             first = parts.take(pa.array(places)).dictionary_encode()
             which = which.copy()
             which[places] = first.indices.to_numpy() + len(words)
-            known = self._known([" " + word for word in words]) + self._known(first.dictionary.to_pylist())
+            known = self._known([" " + word for word in words]) + self._known(strings(first.dictionary))
         else:
             known = self._known(words)
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
@@ -108,6 +108,11 @@ class PartEncoder:
         return every[places], before[bounds[1:]] - before[bounds[:-1]]
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The strings of an array without nulls; by way of numpy this is several times faster than one by one."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def pieces_of(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of some ``most`` bytes of text, of one row at least."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(float)).cumsum()
