@@ -107,7 +107,10 @@ def _packed(items: DataFrame, length: int) -> DataFrame:
         taken = np.repeat(starts[:-1][order] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
         n = int(bins.max()) + 1
         bounds = np.concatenate([[0], np.cumsum(np.bincount(bins[order], weights=sizes, minlength=n).astype(np.int64))])
-        made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), members.values.take(pa.array(taken)))
+        moved = members.values.take(pa.array(taken))
+        # Made of its fields again, as columns that are never null would not fit the schema.
+        moved = pa.StructArray.from_arrays([moved.field(n) for n in range(moved.type.num_fields)], [field.name for field in moved.type])
+        made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), moved)
         filled = np.bincount(bins, weights=fills, minlength=n).astype(np.int64)
         group = np.full(n, table["group"][0].as_py(), np.int64)
         return pa.table([pa.array(group), pa.array(np.arange(n)), pa.array(filled), made], ["group", "place", "fill", "members"])
