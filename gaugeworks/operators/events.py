@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gaugeworks.contract import ColumnRule, Contract
 from gaugeworks.functions.coerce import timestamp_from_text
 from gaugeworks.functions.timegrid import as_utc, floor_to_bucket, timestamp_literal
 from gaugeworks.operators.normalize import DEVICE_KEYS
+from gaugeworks.operators.select import first_rows, newest_rows
 from gaugeworks.sources.events import ARRIVAL, PAYLOAD
 from gaugeworks.sources.metric_store import equals_where_given
 
@@ -345,16 +347,20 @@ def query_stream_aggregates(
 
 
 def retain_latest_buckets(aggregates: DataFrame, max_buckets: int) -> DataFrame:
-    """The newest buckets by start; which of the oldest start stay is decided by the key."""
-    if max_buckets < 1:
-        raise ValueError(f"max_buckets must be at least 1, got {max_buckets}")
-    others = [name for name in AGGREGATE_KEY if name != "bucket_start"]
-    return aggregates.orderBy(F.desc("bucket_start"), *others).limit(max_buckets)
+    """The newest buckets by start; which of the oldest start stay is decided by the key.
+
+    ``aggregates`` is read several times, so it should be stored.
+    """
+    others = [F.col(name) for name in AGGREGATE_KEY if name != "bucket_start"]
+    return newest_rows(aggregates, "bucket_start", others, max_buckets)
 
 
 def retain_latest_ids(seen: DataFrame, max_ids: int) -> DataFrame:
-    """The ids accepted last, in order of batch and arrival."""
+    """The ids accepted last, in order of batch and arrival. ``seen`` is read several times, so it should be stored."""
     if max_ids < 1:
-        raise ValueError(f"max_ids must be at least 1, got {max_ids}")
-    order = [F.desc(name) for name in ("batch_id", ARRIVAL) if name in seen.columns]
-    return seen.orderBy(*order).limit(max_ids)
+        raise ValueError(f"at least one row has to stay, got {max_ids}")
+    if "batch_id" in seen.columns:
+        return newest_rows(seen, "batch_id", [F.desc(ARRIVAL)], max_ids)
+    if isinstance(seen.schema[ARRIVAL].dataType, IntegralType):
+        return newest_rows(seen, ARRIVAL, [F.col("event_id")], max_ids)
+    return first_rows(seen, [F.desc(ARRIVAL)], max_ids)

@@ -90,12 +90,12 @@ def stream_aggregates_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(retain_latest_buckets(_aggregates(spark, sf_dir), 500))
+    return comparable(retain_latest_buckets(write_down(_aggregates(spark, sf_dir)), 500))
 
 
 def latest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = accepted_readings(_parsed(spark, sf_dir), CONTRACT)
-    return retain_latest_ids(accepted.select("event_id", "arrival_seq"), 1_000)
+    return retain_latest_ids(write_down(accepted.select("event_id", "arrival_seq")), 1_000)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> EventTables:

@@ -15,10 +15,12 @@ from gaugeworks.operators.events import (
     merge_aggregates,
     parse_events,
     rejected_events,
+    retain_latest_ids,
 )
 from gaugeworks.session import shared_folder
 from gaugeworks.sources.events import kafka_events, read_event_stream
-from gaugeworks.streaming.exact import EventTables, _seen_in, process_batch, start_exact
+from gaugeworks.streaming.accepted import may_hold, seen_in, shape, write_ids
+from gaugeworks.streaming.exact import EventTables, process_batch, start_exact
 from gaugeworks.streaming.windowed import windowed_aggregates
 
 COLUMNS = ("station_id", "device_id", "metric_type", "bucket", "bucket_start", "count", "total", "avg")
@@ -86,6 +88,7 @@ def test_a_fold_holds_the_batches_finished_before_it(spark, contract):
     # A third batch has written its partials, and not yet its counters, when the fold runs.
     late = accepted_readings(parse_events(raw_events(spark, [event("c")]), contract), contract)
     tables.write("partials", 2, bucket_partials(late, contract))
+    tables.write_accepted(2, late.select("event_id", "arrival_seq", F.lit(2).cast("bigint").alias("batch_id")))
     tables.fold()
     process_batch(raw_events(spark, [event("c"), event("a")]), 2, tables, contract)
     assert rows(tables.aggregates(), *COLUMNS) == expected(spark, contract, [event(n) for n in "abc"])
@@ -111,15 +114,80 @@ def test_a_fold_may_forget(spark, contract):
     assert tables.status().first().events_consumed == 6
 
 
-def test_a_batch_reads_only_the_pieces_of_its_ids(spark, contract):
+def id_frame(spark, names):
+    return spark.createDataFrame([(name, 1, 0) for name in names], "event_id string, arrival_seq long, batch_id long").persist()
+
+
+def test_a_batch_opens_only_files_that_may_hold_its_ids(spark, contract):
     tables = EventTables(spark, folder(spark))
-    for number in range(3):
+    for number in range(4):
         process_batch(raw_events(spark, [event(f"{number}-{n}") for n in range(40)]), number, tables, contract)
-    parsed = parse_events(raw_events(spark, [event("1-7")]), contract)
-    found = _seen_in(parsed, tables.accepted_ids())
-    assert [row.event_id for row in found.collect()] == ["1-7"]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*piece#\d+ (IN|=) ?\(?\d+\)?", plan)
+    sets = tables.id_sets()
+    ids = id_frame(spark, ["1-7", "new", "3-3"])
+    found = seen_in(spark, ids, 3, sets)
+    assert sorted(row.event_id for row in found.collect()) == ["1-7", "3-3"]
+    assert sorted(re.findall(r"accepted/batch_id=(\d)/piece=0/", " ".join(found.inputFiles()))) == ["1", "3"]
+    assert seen_in(spark, id_frame(spark, ["new", "newer"]), 2, sets) is None
+    tables.fold()
+    found = seen_in(spark, ids, 3, tables.id_sets())
+    assert sorted(row.event_id for row in found.collect()) == ["1-7", "3-3"]
+
+
+def test_filters_know_every_id_and_few_others(spark):
+    root, names = folder(spark), [f"id{n}" for n in range(5000)]
+    made = write_ids(id_frame(spark, names), "s", f"{root}/ids", f"{root}/filters", 5000, piece_ids=400)
+    assert (made.pieces, made.blocks) == shape(5000, 400) == (16, 1) and shape(0) == (1, 1)
+    assert shape(10_000_000) == (16, 512)
+    asked = id_frame(spark, [*names[:700], *[f"other{n}" for n in range(700)]])
+    hits = [row.event_id for row in may_hold(spark, asked, 1400, [made]).collect()]
+    assert set(names[:700]) <= set(hits) and len(hits) < 730
+    assert {row.event_id for row in seen_in(spark, asked, 1400, [made]).collect()} == set(names[:700])
+    # As many pieces as hold the ids asked for, no more.
+    assert len(seen_in(spark, id_frame(spark, names[:3]), 3, [made]).inputFiles()) <= 3
+
+
+def test_a_fold_rewrites_the_days_it_touches(spark, contract):
+    tables = EventTables(spark, folder(spark))
+    days = [f"2024-03-{day:02d}T10:00:00" for day in range(1, 6)]
+    process_batch(raw_events(spark, [event(f"a{n}", timestamp=at) for n, at in enumerate(days)]), 0, tables, contract)
+    tables.fold()
+    before = {row.day: row.folder for row in tables.manifest() if row.name == "partials"}
+    process_batch(raw_events(spark, [event("b", timestamp=days[2])]), 1, tables, contract)
+    tables.fold()
+    after = {row.day: row.folder for row in tables.manifest() if row.name == "partials"}
+    changed = [day for day in after if after[day] != before[day]]
+    assert len(after) == 5 and [day.day for day in changed] == [3]
+    assert rows(tables.aggregates(), *COLUMNS) == expected(spark, contract, [*[event(f"a{n}", timestamp=at) for n, at in enumerate(days)], event("b", timestamp=days[2])])
+    # A read of one day scans its folder only, before and after later batches are folded.
+    one = tables.aggregates(changed[0], changed[0])
+    assert {name.rsplit("/", 1)[0].rsplit("/", 1)[1] for name in one.inputFiles()} <= {"day=2024-03-03"} | set()
+    assert one.filter("bucket = 'day' AND metric_type = 'discharge_pressure'").first()["count"] == 2
+    # What the first fold wrote for that day is gone, other days' folders are not.
+    assert not spark.sparkContext._jvm.java.io.File(before[changed[0]].removeprefix("file:")).exists()
+    assert tables._folders("folded/partials/up_to=0/day=2024-03-01")
+
+
+def test_sets_of_ids_grow_by_size(spark, contract):
+    tables, sizes = EventTables(spark, folder(spark)), []
+    for number in range(9):
+        process_batch(raw_events(spark, [event(f"{number}-{n}") for n in range(30 if number == 0 else 2)]), number, tables, contract)
+        tables.fold()
+        sizes.append(sorted(s.rows for s in tables.id_sets()))
+    assert sizes[0] == [30] and sizes[1] == [2, 30] and sizes[2] == [4, 30]
+    assert max(map(len, sizes)) <= 3 and sum(sizes[-1]) == 46
+    assert tables.accepted_ids().count() == 46
+    process_batch(raw_events(spark, [event("0-5"), event("8-1"), event("x")]), 9, tables, contract)
+    assert tables.accepted_ids().count() == 47
+
+
+def test_forgetting_has_no_stage_of_one_partition(spark):
+    frame = spark.range(0, 4000, 1, 8).selectExpr("concat('e', id) AS event_id", "id AS arrival_seq", "id div 1000 AS batch_id")
+    newest = retain_latest_ids(frame, 1500)
+    assert {row.event_id for row in newest.collect()} == {f"e{n}" for n in range(2500, 4000)}
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    for limit in (1, 999, 1000, 1001, 3999, 4000, 5000):
+        assert {row.arrival_seq for row in retain_latest_ids(frame, limit).collect()} == set(range(max(0, 4000 - limit), 4000))
 
 
 def test_the_first_line_written_wins_whatever_the_size_of_files(spark, contract, tmp_path):
