@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.config import MetricThresholds
@@ -51,10 +51,20 @@ def bin_steps(
     return rows.withColumn("step_us", micros(TIME) - micros(F.col("bin_before")["at"]))
 
 
-def interval_hours(frequency: str) -> Column:
-    """Upper median of the positive steps between bins, else the frequency itself."""
-    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY step_us DESC) FILTER (WHERE step_us > 0)")
-    return F.coalesce(median, F.lit(float(parse_frequency(frequency)))) / float(HOUR_US)
+def with_ranks(counted: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """Add ``_reached``, how many of a key's positive values are as large as the row's or larger, and ``_all`` of them.
+
+    ``counted`` has one row per key and value: a key has as many rows as it has different values, however often they occur.
+    """
+    positive = F.when(F.col(value) > 0, F.col(count)).otherwise(0)
+    within = Window.partitionBy(*keys)
+    falling = within.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.select("*", F.sum(positive).over(falling).alias("_reached"), F.sum(positive).over(within).alias("_all"))
+
+
+def upper_median(value: str) -> Column:
+    """Of rows as ``with_ranks`` makes them: the largest positive value with half of all at least as large."""
+    return F.max(F.when((F.col(value) > 0) & (F.col("_reached") * 2 >= F.col("_all")), F.col(value)))
 
 
 def device_metrics_wide(
@@ -64,7 +74,10 @@ def device_metrics_wide(
     *,
     runs: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per device with the seven figures as columns; one aggregation for all of them.
+    """One row per device with the seven figures as columns.
+
+    Bins are added up per device and step first. A device has few different steps, so the median step is found by counting
+    through them, and the same rows give all other figures.
 
     ``runs`` names columns that tell several runs in one table apart, such as the day of daily runs;
     each run of a device is then computed on its own.
@@ -77,26 +90,43 @@ def device_metrics_wide(
     power_per_flow = F.when(
         has_flow(thresholds), F.try_divide(F.col("power_consumption"), F.col("air_flow_rate"))
     )
-    facts = rows.groupBy(*keys).agg(
-        F.min(TIME).alias("window_start"),
-        F.max(TIME).alias("window_end"),
-        F.count(F.lit(1)).alias("bins"),
-        interval_hours(frequency).alias("interval_hours"),
-        F.count_if(active).alias("_active_bins"),
-        F.avg(active.cast("double")).alias("_active_share"),
-        F.avg("discharge_pressure").alias("_pressure"),
-        F.max("discharge_pressure").alias("_peak"),
-        F.avg(power_per_flow).alias("_power"),
-        F.count_if(started).alias("_starts"),
-        F.sum(_flow()).alias("_flow"),
+    by_step = (
+        rows.withColumn("_power_per_flow", power_per_flow)
+        .groupBy(*keys, "step_us")
+        .agg(
+            F.min(TIME).alias("window_start"),
+            F.max(TIME).alias("window_end"),
+            F.count(F.lit(1)).alias("bins"),
+            F.count_if(active).alias("_active_bins"),
+            F.sum("discharge_pressure").alias("_pressure"),
+            F.count("discharge_pressure").alias("_pressures"),
+            F.max("discharge_pressure").alias("_peak"),
+            F.sum("_power_per_flow").alias("_power"),
+            F.count("_power_per_flow").alias("_powers"),
+            F.count_if(started).alias("_starts"),
+            F.sum(_flow()).alias("_flow"),
+        )
+    )
+    sums = ("bins", "_active_bins", "_pressure", "_pressures", "_power", "_powers", "_starts", "_flow")
+    interval = F.coalesce(upper_median("step_us"), F.lit(parse_frequency(frequency))).cast("double")
+    facts = (
+        with_ranks(by_step, keys, "step_us", "bins")
+        .groupBy(*keys)
+        .agg(
+            F.min("window_start").alias("window_start"),
+            F.max("window_end").alias("window_end"),
+            (interval / float(HOUR_US)).alias("interval_hours"),
+            F.max("_peak").alias("_peak"),
+            *[F.sum(name).alias(name) for name in sums],
+        )
     )
     hours = F.col("interval_hours")
     figures = {
         "active_duration_hours": F.col("_active_bins") * hours,
-        "active_ratio_pct": F.col("_active_share") * 100.0,
-        "average_pressure_bar": F.coalesce("_pressure", F.lit(0.0)),
+        "active_ratio_pct": F.col("_active_bins") / F.col("bins") * 100.0,
+        "average_pressure_bar": F.coalesce(F.try_divide("_pressure", "_pressures"), F.lit(0.0)),
         "peak_pressure_bar": F.coalesce("_peak", F.lit(0.0)),
-        "mean_specific_power_kw_per_m3h": F.coalesce("_power", F.lit(0.0)),
+        "mean_specific_power_kw_per_m3h": F.coalesce(F.try_divide("_power", "_powers"), F.lit(0.0)),
         "cycle_count": F.col("_starts").cast("double"),
         "total_flow_volume_m3": F.col("_flow") * hours,
     }
@@ -142,8 +172,3 @@ def metric_rows(wide: DataFrame, frequency: str, strategy: str) -> DataFrame:
         F.lit(frequency).alias("resample_frequency"),
         F.lit(strategy).alias("missing_strategy"),
     )
-
-
-def metric_definitions(spark: SparkSession) -> DataFrame:
-    """Metric names and units as a table of seven rows."""
-    return spark.createDataFrame(list(METRIC_UNITS.items()), "metric_name string, unit string")

@@ -11,7 +11,7 @@ from gaugeworks.contract import Contract
 from gaugeworks.functions.timegrid import MINUTE_US, micros
 from gaugeworks.operators.clean import known_points, known_time
 from gaugeworks.operators.normalize import DEVICE, STATION, TIME
-from gaugeworks.operators.slices import SLICE, SlicedRows, attach_per_key, neighbours
+from gaugeworks.operators.slices import SLICE, SlicedRows, attach_per_key, gather, neighbours
 
 
 def expected_intervals(steps: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
@@ -68,6 +68,8 @@ def detect_flatlines(sliced: SlicedRows, thresholds: Mapping[str, int]) -> DataF
     """
     sensors = list(thresholds)
     narrow = sliced.select(*sensors)
+    if not narrow.laid_out:
+        narrow = gather(narrow)  # looked at twice: for the sensors' intervals, and for the stretches
     rows = neighbours(narrow, known_points(sensors))
     rows = attach_per_key(sliced, rows, _sensor_intervals(narrow, sensors))
 

@@ -42,6 +42,7 @@ class SlicedRows:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     row_count: int | None = None
+    laid_out: bool = False
 
     @property
     def within(self) -> list[str]:
@@ -119,7 +120,11 @@ def neighbours(
     ascending = Window.partitionBy(*within).orderBy(*sliced.order)
     descending = Window.partitionBy(*within).orderBy(*[F.desc(name) for name in sliced.order])
 
-    local = sliced.rows.select(
+    # Keys are not null anyway. Said here it is known of both uses of the rows, and the joins add no check to one of them only.
+    rows = sliced.rows
+    for name in within:
+        rows = rows.where(F.col(name).isNotNull())
+    local = rows.select(
         "*",
         *[
             F.last(value, ignorenulls=True).over(ascending.rowsBetween(*passed)).alias(f"{name}_before")
@@ -143,8 +148,12 @@ def neighbours(
     before_slice = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(*passed)
     after_slice = Window.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(*passed)
 
+    # Always true, and asked of closing rows only: as it names every column, the edges' use of the rows is planned like the
+    # rows' own, and both share one evaluation up to the shuffle. Else each would be pruned to columns of its own.
+    whole = F.xxhash64(*sliced.rows.columns) >= F.lit(-(1 << 63))
+
     def edge(side: str, flag: str) -> DataFrame:
-        return local.filter(flag).select(
+        return local.filter(F.col(flag) & whole).select(
             *within,
             *[
                 F.coalesce(value, F.col(f"{name}_{side}")).alias(f"_{name}_{side}")
@@ -220,4 +229,4 @@ def gather(sliced: SlicedRows) -> SlicedRows:
         laid_out = sliced.rows.repartition(partitions, *sliced.within).sortWithinPartitions(
             *sliced.within, *sliced.order
         )
-        return replace(sliced, rows=write_down(laid_out))
+        return replace(sliced, rows=write_down(laid_out), laid_out=True)

@@ -5,7 +5,9 @@ from frames import SENSORS, at, rows, typed
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.clean import forward_fill, interpolate, slice_readings
+from gaugeworks.operators.metrics import device_metrics_wide
 from gaugeworks.operators.quality import detect_flatlines, detect_gaps
+from gaugeworks.operators.resample import resample_mean
 from gaugeworks.operators.slices import SLICE, gather, slice_rows
 
 
@@ -74,3 +76,20 @@ def test_gathered_rows_need_no_further_shuffle(spark, crowded):
     # The only exchanges left carry one row per slice.
     assert "timestamp" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def scans(frame):
+    """How often the final plan reads files, after all runtime changes."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan"), plan.count("ReusedExchange")
+
+
+def test_rows_and_their_edges_are_evaluated_once(spark, crowded, tmp_path):
+    crowded.write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    bins = resample_mean(stored, "15min", SENSORS).withColumn("day", F.to_date("timestamp"))
+    assert scans(device_metrics_wide(bins, "15min", runs=["day"])) == (1, 1)
+    assert scans(forward_fill(slice_readings(stored, SENSORS), SENSORS))[0] == 1
+    # Looked at twice, so written down: no file is read again.
+    assert scans(detect_flatlines(slice_readings(stored, SENSORS), {"discharge_pressure": 1}))[0] == 0
