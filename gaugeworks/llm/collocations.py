@@ -5,6 +5,10 @@ parts of a phrase (all but its last word, all but its first) are frequent propos
 word, whose sums over all texts bound its count from above. What reaches the bound is a candidate. Frequent parts are recognised
 with a bit filter of bounded size, which lets too much through at worst. So no frequent phrase is missed.
 
+Most pairs of frequent words are rare themselves. Before pairs are proposed they are counted by buckets of their hash, one for
+some ``LOAD`` words of the corpus; a pair in a bucket below the bound is rare. Tasks pack their sorted buckets by ranges, and
+a range is summed in one small array.
+
 The candidates are dealt into shards of at most ``SHARD`` phrases. A shard's phrases make a double-array trie over numbers of words,
 which is broadcast; every task turns its texts into arrays of word numbers and moves the states of all positions with
 one numpy step per word, and counts the states that end a phrase. Sums over tasks and shards are the counts.
@@ -31,7 +35,9 @@ SHARD = 500_000
 #: Bits of the filter of frequent parts, at most.
 FILTER_BITS = 1 << 27
 #: Rows that a task keeps before it adds them up.
-KEPT = 1 << 21
+KEPT = 1 << 19
+#: Words of the corpus to a bucket of pairs, buckets to a range, and pairs that a task packs at once.
+LOAD, WIDTH, PACKED = 4, 1 << 20, 1 << 21
 _SEED = 42
 _TURN = 23
 
@@ -155,17 +161,95 @@ class Filter:
         return found
 
 
-def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter) -> DataFrame:
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    """Unsigned numbers stirred so that all their bits are as good as any."""
+    numbers = (numbers ^ numbers >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    numbers = (numbers ^ numbers >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return numbers ^ numbers >> np.uint64(31)
+
+
+def _pairs(lang: str, words: Words, words_known: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions of pairs of frequent words, their hashes, hashes of all words)."""
+    at = words.together(2)
+    single = _hashes(lang, strings(words.distinct))
+    frequent, hashes = words_known.holds(single)[words.which], single[words.which]
+    at = at[frequent[at] & frequent[at + 1]]
+    return at, _longer(hashes[at], hashes[at + 1]), hashes
+
+
+def _packed(buckets: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
+    """(range, its buckets and counts in few bytes); counts beyond ``most`` are as good as it."""
+    from zstandard import ZstdCompressor
+
+    buckets, counts = np.unique(buckets, return_counts=True)
+    ranges = (buckets // np.uint64(WIDTH)).astype(np.int64)
+    starts = np.concatenate([[0], np.nonzero(np.diff(ranges))[0] + 1, [len(ranges)]]).tolist()
+    for start, end in zip(starts, starts[1:]):
+        places = (buckets[start:end] % np.uint64(WIDTH)).astype(np.int64)
+        steps = np.diff(places, prepend=0).astype("<u4")
+        # Bytes of the same weight lie together, as the upper ones are nearly all zero.
+        planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+        data = planes + np.minimum(counts[start:end], most).astype("<u4").tobytes()
+        yield int(ranges[start]), ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    from zstandard import ZstdDecompressor
+
+    raw = np.frombuffer(ZstdDecompressor().decompress(data), np.uint8)
+    steps, counts = np.split(raw, 2)
+    steps = np.ascontiguousarray(steps.reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.int64), counts.view("<u4")
+
+
+def heavy_buckets(texts: DataFrame, buckets: int, words_known: Filter, least: int) -> DataFrame:
+    """(h): the buckets, stirred, in which pairs of frequent words occur ``least`` times together; ``buckets`` is a power of two."""
+    sent = texts.sparkSession.sparkContext.broadcast(words_known)
+
+    def run(batches):
+        kept, size = [], 0
+
+        def made():
+            number, data = zip(*_packed(np.concatenate(kept), least))
+            return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["range", "data"])
+
+        for lang, words in _by_language(batches):
+            _, pairs, _ = _pairs(lang, words, sent.value)
+            kept.append(_mixed(pairs) & np.uint64(buckets - 1))
+            size += len(pairs)
+            if size > PACKED:
+                yield made()
+                kept, size = [], 0
+        if size:
+            yield made()
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(WIDTH, np.int64)
+        for data in table["data"]:
+            places, counts = _unpacked(data.as_py())
+            total[places] += counts
+        found = np.nonzero(total >= least)[0] + table["range"][0].as_py() * WIDTH
+        return pa.table([pa.array(_mixed(found.astype(np.uint64)).view(np.int64))], ["h"])
+
+    return texts.mapInArrow(run, "range long, data binary").groupBy("range").applyInArrow(add, "h long")
+
+
+def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter, buckets: int) -> DataFrame:
     """(lang, key, n): how often phrases of ``length`` words whose parts may be frequent occur, by a hash.
 
-    The upper half of the key is that of all but the last word's hash, the lower half that of the last word.
+    The upper half of the key is that of all but the last word's hash, the lower half that of the last word. ``known`` has the
+    frequent phrases one word shorter; for pairs it has the heavy ones of so many ``buckets``.
     """
     sent, words_sent = (texts.sparkSession.sparkContext.broadcast(one) for one in (known, words_known))
+    half = np.uint64(32)
 
     def of(lang: str, words: Words):
+        if length == 2:
+            at, pairs, hashes = _pairs(lang, words, words_sent.value)
+            at = at[sent.value.holds(_mixed(_mixed(pairs) & np.uint64(buckets - 1)))]
+            keys, counts = np.unique((hashes[at] >> half << half) | hashes[at + 1] >> half, return_counts=True)
+            return keys.view(np.int64), counts
         at = words.together(length)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         single = _hashes(lang, strings(words.distinct))
         fine = words_sent.value.holds(single)
         frequent = fine[words.which]
@@ -177,10 +261,8 @@ def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter)
         first, second = hashes[at], hashes[at + 1]
         for step in range(1, length - 1):
             first, second = _longer(first, hashes[at + step]), _longer(second, hashes[at + step + 1])
-        if length > 2:
-            ok = sent.value.holds(first) & sent.value.holds(second)
-            at, first = at[ok], first[ok]
-        half = np.uint64(32)
+        ok = sent.value.holds(first) & sent.value.holds(second)
+        at, first = at[ok], first[ok]
         keys = (first >> half << half) | hashes[at + length - 1] >> half
         keys, counts = np.unique(keys, return_counts=True)
         return keys.view(np.int64), counts
@@ -188,14 +270,17 @@ def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter)
     return _summed(texts, of, "key", "long")
 
 
-def candidates(texts: DataFrame, singles: DataFrame, least: int = LEAST, longest: int = WORDS) -> list[DataFrame]:
-    """(lang, phrase, h) of the phrases of 2, 3 and so on words that can occur ``least`` times; ``singles`` has frequent words."""
+def candidates(texts: DataFrame, singles: DataFrame, total: int, least: int = LEAST, longest: int = WORDS) -> list[DataFrame]:
+    """(lang, phrase, h) of the phrases of 2, 3 and so on words that can occur ``least`` times; ``singles`` has frequent words,
+    ``total`` is the number of words of all texts."""
     words = write_down(singles.select("lang", "phrase", _hash_of(F.col("lang"), F.col("phrase")).alias("h")))
-    words_known = known = Filter(words.select("h"))
+    words_known = Filter(words.select("h"))
+    buckets = max(WIDTH, 1 << math.ceil(math.log2(total / LOAD + 1)))
+    known = Filter(write_down(heavy_buckets(texts, buckets, words_known, least)))
     last, found = words, []
     lower = words.select(F.col("lang").alias("wl"), F.col("phrase").alias("word"), F.col("h").alias("wh"), F.shiftrightunsigned("h", 32).alias("w32"))
     for length in range(2, longest + 1):
-        often = proposals(texts, length, known, words_known).where(F.col("n") >= least)
+        often = proposals(texts, length, known, words_known, buckets).where(F.col("n") >= least)
         halves = often.select("lang", F.shiftrightunsigned("key", 32).alias("p32"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("w32"))
         upper = last.select(F.col("lang").alias("pl"), F.col("phrase").alias("start"), F.col("h").alias("ph"), F.shiftrightunsigned("h", 32).alias("u32"))
         both = halves.join(upper, (F.col("lang") == F.col("pl")) & (F.col("p32") == F.col("u32")))
@@ -223,46 +308,61 @@ class Trie:
                     follow.append({})
                 node = after
             ends_at[node] = place
-        size = words + 1 + 2 * len(follow) + words
-        self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
-        self.ends = np.full(size, -1, np.int64)
-        taken = bytearray(size)
-        state = {0: 0}
-        taken[: words + 1] = b"\1" * (words + 1)  # the root's followers have places by number
-        free = words + 1
-        inner = [node for node in range(1, len(follow)) if follow[node]]
-        for word, node in follow[0].items():
-            state[node], self.check[word] = word, 0
-        # Nodes come in the order they were made, so a state is known before its followers; wide ones are fitted like others.
-        for node in inner:
-            after = follow[node]
-            least = min(after)
-            while taken[free]:
-                free += 1
-            at = free
-            while True:
-                base = at - least
-                if all(not taken[base + word] for word in after):
-                    break
-                at += 1
-                if at + words >= len(taken):
-                    more = len(taken)
-                    taken.extend(bytes(more))
-                    self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
-                    self.check, self.ends = (np.concatenate([old, np.full(more, -1, np.int64)]) for old in (self.check, self.ends))
-            here = state[node]
-            self.base[here] = base
-            for word, target in after.items():
-                taken[base + word] = 1
-                self.check[base + word] = here
-                state[target] = base + word
-        # A state without followers leads nowhere: word 0 is never one.
+        bases, taken = self._fitted(follow, words)
+        self.base, self.check, self.ends = (np.full(len(taken), least, np.int32) for least in (0, -1, -1))
+        state = np.zeros(len(follow), np.int64)
+        # Nodes come in the order they were made, so a state is known before its followers.
+        for node, after in enumerate(follow):
+            if after:
+                here, base = state[node], bases[node]
+                self.base[here] = base
+                for word, target in after.items():
+                    self.check[base + word] = here
+                    state[target] = base + word
         for node, place in ends_at.items():
             self.ends[state[node]] = place
-        last = int(max(state.values())) + words + 2
-        self.base, self.check, self.ends = self.base[:last].astype(np.int32), self.check[:last].astype(np.int32), self.ends[:last].astype(np.int32)
         self.longest = max(map(len, phrases), default=0)
 
+    @staticmethod
+    def _fitted(follow: list[dict[int, int]], words: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """(base of each node, places taken). The root's followers have places by number; the other nodes fill what is free behind
+        them, those with most followers first, and single followers what is then left over."""
+        bases, total = np.zeros(len(follow), np.int64), len(follow)
+        taken = np.zeros(words + 1 + 2 * total + words + block, bool)
+        taken[: words + 1] = True
+        wide = sorted((node for node in range(1, total) if len(follow[node]) > 1), key=lambda node: -len(follow[node]))
+        first = words + 1  # where the least follower may lie; what is before is nearly full
+        for node in wide:
+            after = np.sort(np.fromiter(follow[node], np.int64, len(follow[node])))
+            steps, at = after - after[0], first
+            while True:
+                if at + block + words >= len(taken):
+                    taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+                fitting = at + np.nonzero(~taken[at : at + block])[0]
+                for step in steps[1:]:
+                    fitting = fitting[~taken[fitting + step]]
+                    if not len(fitting):
+                        break
+                if len(fitting):
+                    break
+                at += block
+            taken[fitting[0] + steps] = True
+            bases[node] = fitting[0] - after[0]
+            # Blocks that long had no room are left to the single followers.
+            first = max(first, at - 2 * block)
+            if taken[first : first + block].mean() > 0.7:
+                first += block
+        single = np.array([node for node in range(1, total) if len(follow[node]) == 1], np.int64)
+        free = np.nonzero(~taken)[0]
+        while len(free) < len(single):
+            taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+            free = np.nonzero(~taken)[0]
+        free = free[: len(single)]
+        bases[single] = free - np.array([next(iter(follow[node])) for node in single.tolist()], np.int64)
+        taken[free] = True
+        # Room for every word after every base, so that a look-up is never outside.
+        return bases, np.zeros(int(max(np.nonzero(taken)[0][-1], bases.max())) + words + 2, bool)
+
     def count(self, numbers: np.ndarray, piece: np.ndarray, into: np.ndarray) -> None:
         """Add how often each phrase occurs in a row of words; ``numbers`` has 0 for words that no phrase has."""
         at = np.nonzero(numbers)[0]
@@ -365,7 +465,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     words = write_down(count_words(texts))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     singles = words.where(F.col("n") >= least)
-    found = candidates(texts, singles.select("lang", "phrase"), least)
+    size = words.agg(F.sum("n")).first()[0] or 0
+    found = candidates(texts, singles.select("lang", "phrase"), size, least)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)

@@ -32,6 +32,7 @@ def test_lower_bounds_many_shards_and_saturated_filters(spark, monkeypatch):
     rows = [(n % 7, text, ["en", "de", None][n % 3], 1) for n, text in enumerate(texts)] + [(1, None, "en", 1), (None, "", "fr", 1), (2, "new YORK " * 3000, "fr", 1)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, rank int").repartition(3)
     monkeypatch.setattr(collocations, "KEPT", 50)
+    monkeypatch.setattr(collocations, "PACKED", 70)
     for bits in (1 << 27, 1 << 10):  # the second lets nearly everything through
         monkeypatch.setattr(collocations.Filter.__init__, "__defaults__", (bits,))
         got = sorted(map(tuple, collocations.mine(docs, least=4, top=40, shard=100).select(*COLUMNS).collect()))
@@ -67,3 +68,13 @@ def test_words_are_cut_as_told(spark):
     assert lang == "en" and isinstance(words, Words)
     assert [words.distinct[int(n)].as_py() for n in words.which] == ["a", "b", "c\x1cd", "é"]
     assert words.together(2).tolist() == [0]
+
+
+def test_buckets_are_packed_whole():
+    random.seed(5)
+    buckets = np.array([random.choice([random.randrange(1 << 23), 7]) for _ in range(3000)], np.uint64)
+    counts = Counter()
+    for number, data in collocations._packed(buckets, 9):
+        for place, count in zip(*collocations._unpacked(data)):
+            counts[number * collocations.WIDTH + int(place)] = int(count)
+    assert counts == {bucket: min(9, count) for bucket, count in Counter(buckets.tolist()).items()}
