@@ -38,6 +38,7 @@ from gaugeworks.operators.select import newest_rows
 from gaugeworks.sources.events import ARRIVAL, with_arrival
 from gaugeworks.sources.metric_store import read_or_empty
 from gaugeworks.streaming.accepted import IdSet, read_sets, seen_in, write_ids
+from gaugeworks.streaming.progress import backlog
 
 BATCH, DAY = "batch_id", "day"
 # Arrivals are numbers or structs, as the source has them; these types are for tables without rows.
@@ -340,15 +341,7 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def queue_depth(query: StreamingQuery | None) -> int | None:
     """Rows the source knows about but the query has not read, where the source reports them."""
     progress = query.lastProgress if query is not None else None
-    if not progress:
-        return None
-    waiting = [
-        int(source["metrics"][name])
-        for source in progress["sources"]
-        for name in ("numFilesOutstanding", "maxOffsetsBehindLatest")
-        if name in (source.get("metrics") or {})
-    ]
-    return sum(waiting) if waiting else None
+    return backlog(progress.sources) if progress else None
 
 
 def process_batch(

@@ -27,6 +27,7 @@ from gaugeworks.operators.events import (
 from gaugeworks.session import shared_folder, write_down
 from gaugeworks.sources.events import read_event_stream
 from gaugeworks.streaming.exact import EventTables, start_exact
+from gaugeworks.streaming.progress import StreamProgress, file_backlog
 from gaugeworks.streaming.windowed import windowed_aggregates
 from registered.sql import ACCEPTED, AGGREGATES, PARSED, each, query, rounded
 from registered.views import comparable, raw_events
@@ -126,6 +127,33 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the listener saw of a stream that takes two of six files at a time."""
+    root = f"{shared_folder(spark)}/progress-{uuid4().hex}"
+    # Six files whatever the table's size: rows are dealt round.
+    raw_events(spark, sf_dir).repartition(6).write.parquet(f"{root}/in")
+    progress = StreamProgress.watch(spark, file_backlog(spark, f"{root}/in", f"{root}/checkpoint"))
+    try:
+        events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=2)
+        query = start_exact(events, EventTables(spark, f"{root}/out"), CONTRACT, f"{root}/checkpoint", drain=True)
+        query.awaitTermination()
+        progress.settle()
+        rows = progress.table().filter(F.col("query_id") == str(query.id))
+    finally:
+        progress.stop()
+    batches = rows.filter("batch_id IS NOT NULL AND events > 0")
+    seen = batches.agg(
+        F.count(F.lit(1)).alias("batches"),
+        F.sum("events").alias("events_consumed"),
+        F.max("queue_depth").alias("most_waiting"),
+        F.max_by("queue_depth", "seq").alias("queue_depth"),
+        F.bool_and("running").alias("consumer_running"),
+    )
+    ended = rows.agg(F.max_by("running", "seq").alias("running_at_last"))
+    # Both sides are one row.
+    return seen.join(F.broadcast(ended), F.lit(True))
+
+
 def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day aggregates of the watermark mode, run to the end with room for every event's lateness."""
     root = f"{shared_folder(spark)}/windowed-{uuid4().hex}"
@@ -165,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_folded": stream_folded,
     "stream_status": stream_status,
     "stream_windowed": stream_windowed,
+    "stream_progress": stream_progress,
 }
 
 _AGGREGATE_COLUMNS = (
@@ -220,6 +249,12 @@ ORDER BY bucket_start DESC, station_id, device_id, metric_type, bucket LIMIT 500
     "stream_equals_batch": _ALL_AGGREGATES,
     "stream_folded": _ALL_AGGREGATES,
     "stream_status": query(PARSED, select=f"SELECT false AS consumer_running, {_STATUS}"),
+    # Three batches of two files; after the first four are waiting, after the last none.
+    "stream_progress": query(
+        PARSED,
+        select="""SELECT CAST(3 AS BIGINT) AS batches, count(*) AS events_consumed, CAST(4 AS BIGINT) AS most_waiting,
+  CAST(0 AS BIGINT) AS queue_depth, true AS consumer_running, false AS running_at_last FROM outcomes""",
+    ),
     "stream_windowed": query(
         AGGREGATES, select=f"SELECT {_AGGREGATE_COLUMNS} FROM aggregates WHERE bucket = 'day'"
     ),
