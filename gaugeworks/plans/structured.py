@@ -12,6 +12,7 @@ from gaugeworks.config import AGGREGATIONS, MetricQuery, StructuredQuery
 from gaugeworks.functions.coerce import timestamp_from_text
 from gaugeworks.functions.timegrid import as_utc, micros
 from gaugeworks.operators.metrics import METRIC_UNITS
+from gaugeworks.plans.interval_index import IntervalIndex, blocks_between, build_index, day_of, merged, partials
 from gaugeworks.sources.metric_store import STORED_ORDER, metric_filter
 
 # Reasons a question is refused, in the order they are checked.
@@ -130,52 +131,109 @@ def refusal(requests: DataFrame) -> Column:
 
 
 def run_structured_queries(
-    metrics: DataFrame, requests: DataFrame, *, broadcast_limit: int = _BROADCAST_REQUESTS
+    metrics: DataFrame,
+    requests: DataFrame,
+    *,
+    index: IntervalIndex | None = None,
+    broadcast_limit: int = _BROADCAST_REQUESTS,
 ) -> DataFrame:
     """Answer a table of questions in one job: ``request_id, refusal, matched_rows, aggregate_value``.
 
-    Metrics are matched to questions by station and metric plus the window overlap, and reduced to one
-    row per question on the way; matches themselves are never written or gathered.
+    The days between a question's bounds come from blocks of ``index``, two per level at most, so what is joined follows the
+    questions and not the length of their windows. Rows are compared only on the days of the bounds, and where a metric's window
+    is over several days. Without an index one is made of ``metrics``, which is read several times and should be stored.
     """
+    index = index or build_index(metrics, _latest_first())
     asked = requests.withColumn("refusal", refusal(requests)).withColumn(
         "aggregation", F.coalesce("aggregation", F.lit("mean"))
     )
     valid = asked.filter(F.col("refusal").isNull()).select(
         "request_id",
+        "aggregation",
         F.col("station_id").alias("_station"),
         F.col("metric_name").alias("_metric"),
         F.col("device_id").alias("_device"),
         timestamp_from_text(F.col("start_time")).alias("_start"),
         timestamp_from_text(F.col("end_time")).alias("_end"),
     )
-    same = (F.col("station_id") == F.col("_station")) & (F.col("metric_name") == F.col("_metric"))
-    if valid.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        valid = F.broadcast(valid)
-    else:
-        pieces = F.array(*[F.lit(piece) for piece in range(_SALTS)])
-        valid = valid.withColumn("_piece", F.explode(pieces))
-        spread = F.pmod(F.xxhash64("device_id", "window_start", "window_end"), F.lit(_SALTS))
-        metrics = metrics.withColumn("_salt", spread.cast("int"))
-        same = same & (F.col("_salt") == F.col("_piece"))
-    overlap = (
+    few = valid.limit(broadcast_limit + 1).count() <= broadcast_limit
+    parts = [_whole_days(index, valid, few), _edge_days(index, valid, few)]
+    if not index.long.isEmpty():
+        parts.append(_long_windows(index, valid, few))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    answers = found.groupBy("request_id").agg(*merged())
+    values = {
+        "mean": F.try_divide(F.col("total"), F.col("known")),
+        "max": F.col("peak"),
+        "sum": F.col("total"),
+        "latest": F.col("latest")["metric_value"],
+    }
+    chosen = F.coalesce(*[F.when(F.col("aggregation") == name, values[name]) for name in AGGREGATIONS])
+    return asked.join(answers, "request_id", "left").select(
+        "request_id",
+        "refusal",
+        F.coalesce("matched", F.lit(0).cast("bigint")).alias("matched_rows"),
+        chosen.alias("aggregate_value"),
+    )
+
+
+def _asked_only(name: str, column: Column) -> Column:
+    """A partial, where the question's aggregation needs it."""
+    return F.when(F.col("aggregation") == name, column)
+
+
+def _overlap() -> Column:
+    return (
         (F.col("_device").isNull() | (F.col("device_id") == F.col("_device")))
         & (F.col("_start").isNull() | (F.col("window_end") >= F.col("_start")))
         & (F.col("_end").isNull() | (F.col("window_start") <= F.col("_end")))
     )
-    answers = (
-        metrics.join(valid, same & overlap)
-        .groupBy("request_id")
-        .agg(
-            F.count(F.lit(1)).alias("_matched"),
-            *[column.alias(f"_{name}") for name, column in _aggregates().items()],
-        )
-    )
-    chosen = F.coalesce(
-        *[F.when(F.col("aggregation") == name, F.col(f"_{name}")) for name in AGGREGATIONS]
+
+
+def _of_rows(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("request_id").agg(*partials(_asked_only("latest", _latest_first())))
+
+
+def _whole_days(index: IntervalIndex, valid: DataFrame, few: bool) -> DataFrame:
+    """Partials of the days strictly between the bounds."""
+    first = F.coalesce(day_of("_start") + 1 - index.first_day, F.lit(0))
+    last = F.coalesce(day_of("_end") - 1 - index.first_day, F.lit(index.last_day - index.first_day))
+    inside = F.greatest(first, F.lit(0)), F.least(last, F.lit(index.last_day - index.first_day))
+    blocks = valid.select("*", F.inline(blocks_between(*inside, index.levels)).alias("_level", "_block"))
+    same = (
+        (F.col("station_id") == F.col("_station"))
+        & (F.col("metric_name") == F.col("_metric"))
+        & F.col("device_id").eqNullSafe(F.col("_device"))
+        & (F.col("level") == F.col("_level"))
+        & (F.col("block") == F.col("_block"))
     )
-    return asked.join(answers, "request_id", "left").select(
-        "request_id",
-        "refusal",
-        F.coalesce("_matched", F.lit(0).cast("bigint")).alias("matched_rows"),
-        chosen.alias("aggregate_value"),
+    joined = index.blocks.join(F.broadcast(blocks) if few else blocks, same)
+    return joined.withColumn("latest", _asked_only("latest", F.col("latest"))).groupBy("request_id").agg(*merged())
+
+
+def _edge_days(index: IntervalIndex, valid: DataFrame, few: bool) -> DataFrame:
+    """Partials of the rows that match on the days of the bounds."""
+    days = F.array_distinct(F.array(day_of("_start"), day_of("_end")))
+    edges = valid.select("*", F.explode(days).alias("_edge")).where("_edge IS NOT NULL")
+    edges = edges.withColumn("_edge", F.col("_edge") - index.first_day)
+    same = (
+        (F.col("station_id") == F.col("_station"))
+        & (F.col("metric_name") == F.col("_metric"))
+        & (F.col("_day") == F.col("_edge"))
     )
+    return _of_rows(index.short.join(F.broadcast(edges) if few else edges, same & _overlap()))
+
+
+def _long_windows(index: IntervalIndex, valid: DataFrame, few: bool) -> DataFrame:
+    """Partials of matching rows whose window is over several days."""
+    rows = index.long
+    same = (F.col("station_id") == F.col("_station")) & (F.col("metric_name") == F.col("_metric"))
+    if not few:
+        pieces = F.array(*[F.lit(piece) for piece in range(_SALTS)])
+        valid = valid.withColumn("_piece", F.explode(pieces))
+        spread = F.pmod(F.xxhash64("device_id", "window_start", "window_end"), F.lit(_SALTS))
+        rows = rows.withColumn("_salt", spread.cast("int"))
+        same = same & (F.col("_salt") == F.col("_piece"))
+    return _of_rows(rows.join(F.broadcast(valid) if few else valid, same & _overlap()))
