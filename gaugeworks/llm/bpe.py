@@ -12,30 +12,30 @@ normalised (NFC, white space, lower case), split by the file's pattern and mappe
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import per_text
+from gaugeworks.llm.parts import LONGEST, PartEncoder, binaries, byte_characters, pieces_of
 
-MAX_REMEMBERED = 400_000
+#: Words remembered in each of two generations.
+GENERATION = 100_000
 _NONE = 1 << 80
+#: A word of the file's pattern and perhaps a sign, composed already.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 #: Characters with Unicode's White_Space property.
 _WHITE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself if printable, else the next free one from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [byte for byte in range(256) if byte not in printable]
-    stands = {byte: chr(byte) for byte in printable} | {byte: chr(256 + n) for n, byte in enumerate(others)}
-    return [stands[byte] for byte in range(256)]
-
-
 def merged(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """The symbols of one word when no pair can be merged any more.
 
@@ -44,6 +44,9 @@ def merged(symbols: list[int], merges: dict[int, int]) -> list[int]:
     n = len(symbols)
     if n < 2:
         return symbols
+    if n == 2:  # one leaf only
+        merge = merges.get(symbols[0] << 20 | symbols[1])
+        return symbols if merge is None else [merge & 0xFFFFF]
     width = 1 << (n - 2).bit_length()
     tree = [_NONE] * (2 * width)
     find = merges.get
@@ -120,51 +123,70 @@ class WordBpe:
         self.last = [vocabulary.get(char + end) for char in byte_characters()]
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("|".join(map(regex.escape, self.special)))
-        self.by_chunk: dict[str, bytes] = {}
-        self.by_word: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts = PartEncoder(lambda parts: [self._part(part) for part in parts])
+        numbers = range(max(self.tokens) + 1)
+        self.written = pa.array([self.tokens.get(number) for number in numbers], pa.string())
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of one word as the pattern cuts it."""
-        known = self.by_word.get(word)
+        known = self.young.get(word)
         if known is None:
-            raw = word.encode()
-            # The last character has the word-end mark; bytes that stand for themselves come one by one.
-            symbols = [self.inner[byte] for byte in raw[:-1]] + [self.last[raw[-1]]]
-            known = merged([symbol for symbol in symbols if symbol is not None], self.merges)
-            if len(self.by_word) < MAX_REMEMBERED and len(word) < 64:
-                self.by_word[word] = known
+            known = self.old.get(word)
+            if known is None:
+                raw = word.encode()
+                # The last character has the word-end mark; bytes that stand for themselves come one by one.
+                symbols = [self.inner[byte] for byte in raw[:-1]] + [self.last[raw[-1]]]
+                ids = merged([symbol for symbol in symbols if symbol is not None], self.merges)
+                known = pack(f"<{len(ids)}I", *ids)
+            if len(word) < LONGEST:
+                self.young[word] = known
+                if len(self.young) >= GENERATION:
+                    self.young, self.old = {}, self.young
         return known
 
-    def _ordinary(self, text: str) -> list[int]:
+    def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = _WHITE.sub(" ", text).lower()
-        return [number for word in self.pattern.findall(text) for number in self.word(word)]
-
-    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.word(word) for word in self.pattern.findall(text)])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part between blanks, which end words."""
+        if match := _PLAIN(part):
+            word, sign = match.groups()
+            ids = self.word(word.lower())
+            return ids + self.word(sign) if sign else ids
+        if "<" not in part:
+            return self._ordinary(part)
         ids, at = [], 0
-        for special in self.cut.finditer(chunk):
-            ids += self._ordinary(chunk[at : special.start()])
-            ids.append(self.special[special[0]])
+        for special in self.cut.finditer(part):
+            ids += [self._ordinary(part[at : special.start()]), pack("<I", self.special[special[0]])]
             at = special.end()
-        ids += self._ordinary(chunk[at:])
-        made = np.array(ids, dtype="<u4").tobytes()
-        if len(self.by_chunk) < MAX_REMEMBERED and len(chunk) < 64:
-            self.by_chunk[chunk] = made
-        return made
+        return b"".join([*ids, self._ordinary(part[at:])])
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit numbers. A blank ends words, so parts between blanks are remembered."""
-        known, parts = self.by_chunk, []
-        for chunk in text.split(" "):
-            made = known.get(chunk)
-            parts.append(self._chunk(chunk) if made is None else made)
-        return b"".join(parts)
+        """Ids of a text as little-endian 32-bit numbers."""
+        return self.parts.encode(pa.array([text]))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts that ``counts`` ids each decode to: tokens joined by blanks, as the file names no decoder; numbers it does
+        not have are left out."""
+        known = ids < len(self.written)
+        tokens = self.written.take(pa.array(np.where(known, ids, 0)))
+        if not known.all():
+            tokens = pc.if_else(pa.array(known), tokens, pa.scalar(None, pa.string()))
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        if tokens.null_count:
+            kept = tokens.is_valid().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]
+            tokens = tokens.drop_null()
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
 
     def decode(self, ids: bytes) -> str:
-        """Tokens joined by blanks, as the file names no decoder; numbers it does not have are left out."""
-        tokens = self.tokens
-        return " ".join([tokens[number] for number in np.frombuffer(ids, dtype="<u4").tolist() if number in tokens])
+        numbers = np.frombuffer(ids, dtype="<u4")
+        return self.decode_all(numbers, np.array([len(numbers)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -204,18 +226,23 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """(doc_id, ids, decoded): ``encode`` and ``decode`` of what it made, in one pass over the texts."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def rows(keys: list, texts: list) -> dict:
+    def run(batches):
         bpe = encoder(path)
-        ids = [bpe.encode((t or b"").decode()) for t in texts]
-        return {"doc_id": keys, "ids": ids, "decoded": [bpe.decode(row) for row in ids]}
+        for batch in batches:
+            for piece in pieces_of(batch, 1):
+                ids, counts = bpe.parts.encode(piece.column(1).fill_null(""))
+                columns = [piece.column(0), binaries(ids, counts), bpe.decode_all(ids, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
-    return per_text(docs, key, text, f"doc_id {kind}, ids binary, decoded string", rows)
+    narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
-def digests(trips: DataFrame) -> DataFrame:
-    """Per row of ``round_trip``: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+def digests(trips: DataFrame, *more: str) -> DataFrame:
+    """Per row of ``round_trip``: (doc_id, columns named, n_tokens, ids_sha256, decoded_sha256)."""
     return trips.select(
         "doc_id",
+        *more,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
