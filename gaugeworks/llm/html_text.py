@@ -4,16 +4,20 @@ Markup is stripped so that each block element's text is one line. The lengths of
 windows. A surge, a line whose window sum reaches the threshold, opens a run of text; it ends at a dive, where the
 sums fall below the threshold. The run with most text is kept, with the runs that belong to it.
 
-Scripts, styles, forms and other parts that are never prose are cut out first; menus, headers, footers and sidebars are
-cut out where an element's name or role says so, and leave empty lines behind. Classes and ids are hints: an element with
-a label is cut out unless it holds an article or main element or most of the page's text. Lines in an article or main element
-weigh more than others, up to a bound: where text outside weighs more, the element does not matter.
+Scripts, styles and other parts that are never prose are cut out first; menus, headers, footers, sidebars and comments are
+cut out where an element's name, role or label says so, unless they hold an article or main element, or were never closed and took
+most of the page in. Other classes and ids are hints, as are forms: such an element is cut out unless it holds an article or main
+element or most of the page's text. Lines in an article or main element weigh more than others, up to a bound: where text
+outside weighs more, the element does not matter. A page is read once, whatever its markup is like.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -29,7 +33,7 @@ DEEPEST = 64
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "script style template noscript head title svg math iframe object canvas audio video select textarea button form "
+    "script style template noscript head title svg math iframe object canvas audio video select textarea button "
     "datalist map applet frameset noframes".split()
 )
 ASIDE = frozenset("nav header footer aside menu dialog".split())
@@ -52,27 +56,81 @@ LABELS = frozenset(
 AMBIGUOUS = frozenset("discussion related notice notices".split())
 #: The page itself, headings and paragraphs.
 UNLABELLED = frozenset("html body p h1 h2 h3 h4 h5 h6 hgroup li td th dt dd tr blockquote pre figcaption caption".split())
+#: What else a head may hold; any other element ends it, as its end tag may be left out.
+HEADS = frozenset("base basefont bgsound command link meta noscript object script style template title".split())
+#: A token of these words, one of the first line among them, names readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+COMMENT_PARTS = COMMENTS | frozenset(
+    "area author block body box children container content entry feed footer form header holder inner item list main meta "
+    "replies reply respond section text thread title user wrap wrapper".split()
+)
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def _is_aside(name: str, attributes: str) -> bool:
-    """Whether an element's name or role says that it is no main text."""
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it ends an element, name, attributes) of each tag, in order; comments and declarations have no name.
+
+    A tag ends at the first ``>`` outside quotes. A quote that is never closed is none. The page is passed over once: what is not found
+    behind one place is not looked for behind a later one.
+    """
+    last, at, unclosed = page.rfind(">"), 0, set()
+    while match := _START.search(page, at):
+        start, inner = match.span()
+        if match[2] is None:
+            comment = match[0] == "<!--"
+            end = page.find("-->" if comment else ">", inner)
+            at = len(page) if end < 0 else end + (3 if comment else 1)
+            yield start, at, False, "", ""
+            continue
+        if inner > last:
+            at = inner  # no tag ends any more; a comment may still come
+            continue
+        place, end = inner, -1
+        while place <= last:
+            stop = _STOP.search(page, place)
+            sign = stop[0]
+            if sign == ">":
+                end = stop.start()
+                break
+            close = -1 if sign in unclosed else page.find(sign, stop.end())
+            if close < 0:
+                unclosed.add(sign)
+            place = stop.end() if close < 0 else close + 1
+        if end < 0:
+            end = page.find(">", inner)
+        at = end + 1
+        yield start, at, match[1] == "/", match[2].lower(), page[inner:end]
+
+
+def _part_of(name: str, attributes: str) -> str:
+    """What an element's name, role or label says of it: ``cut``, ``aside``, ``comments``, ``hint`` or nothing."""
+    if name in UNSEEN:
+        return "cut"
     if name in ASIDE:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for attribute, value in _ATTRIBUTE.findall(attributes):
-        attribute, value = attribute.lower(), value.strip("\"'")
-        if attribute == "role" and value.lower() in ROLES:
-            return True
-        if attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        return "aside"
+    if not attributes or name in ("html", "body"):
+        return "hint" if name == "form" else ""
+    found = _ATTRIBUTE.findall(attributes)
+    for attribute, value in found:
+        attribute, value = attribute.lower(), value.strip("\"'").lower()
+        if name not in MAIN and attribute == "role" and value in ROLES:
+            return "hint" if value == "form" else "aside"
+        if name not in MAIN and (attribute == "hidden" or attribute == "aria-hidden" and value == "true"):
+            return "cut"
+    if name not in UNLABELLED or name == "li":
+        for attribute, value in found:
+            if attribute.lower() in ("class", "id"):
+                for token in value.strip("\"'").split():
+                    words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+                    if words & COMMENTS and words <= COMMENT_PARTS:
+                        return "comments"
+    return "hint" if name == "form" or _is_labelled(name, attributes) else ""
 
 
 def _is_labelled(name: str, attributes: str) -> bool:
@@ -88,18 +146,78 @@ def _is_labelled(name: str, attributes: str) -> bool:
     return False
 
 
+@dataclass
+class _Hint:
+    """A part that may be cut out, and what it turned out to hold."""
+
+    kind: str
+    size: int = 0
+    holds_main: bool = False
+    closed: bool = False
+
+    def is_cut(self, whole: int) -> bool:
+        most = 2 * self.size > whole
+        if self.kind == "hint":
+            return not (self.holds_main or most)
+        return not (self.holds_main or most and not self.closed)
+
+
+@dataclass
+class _Element:
+    name: str
+    cut: bool
+    main: bool
+    hint: int | None
+    container: bool
+
+
+class _Open:
+    """The open elements, and where those of a name, the blocks and the main ones are among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Element] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.mains: list[int] = []
+        self.walls: list[int] = []
+
+    def push(self, element: _Element) -> None:
+        place = len(self.stack)
+        self.places[element.name].append(place)
+        if element.main:
+            self.mains.append(place)
+        if element.name in BLOCKS and element.name not in _CLOSED_BY:
+            self.walls.append(place)
+        self.stack.append(element)
+
+    def pop(self) -> _Element:
+        element = self.stack.pop()
+        place = len(self.stack)
+        self.places[element.name].pop()
+        for kind in (self.mains, self.walls):
+            if kind and kind[-1] == place:
+                kind.pop()
+        return element
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def ended_by(self, name: str) -> int:
+        """The innermost element that a start tag ends, behind the last block; -1 if there is none."""
+        wall = self.walls[-1] if self.walls else -1
+        found = max((self.last(closed) for closed, closers in _CLOSED_BY.items() if name in closers), default=-1)
+        return found if found > wall else -1
+
+
 def lines_of(page: str) -> list[tuple[str, bool, tuple]]:
-    """(text, in main element, containers from the page down) per block, in page order; cut-out parts leave empty lines. One
-    pass over the page; which labelled elements are cut out is told by what they turn out to hold."""
+    """(text, in main element, containers from the page down) per block, in page order; cut-out parts leave an empty line. One
+    pass over the page; which hinted elements are cut out is told by what they turn out to hold."""
     lines: list[tuple[str, bool, tuple]] = []
-    within: list[tuple] = []  # labelled elements around each line
+    within: list[tuple] = []  # hinted elements around each line
     parts: list[str] = []
-    # name, cut out, main, labelled, container
-    open_elements: list[tuple[str, bool, bool, int | None, int | None]] = []
-    labelled: list[list] = []  # text, holds a main element
+    elements, hinted = _Open(), []
     hints: tuple[int, ...] = ()
     place: tuple[int, ...] = ()
-    cut = main = number = unread = 0
+    cut = main = number = unread = at = 0
 
     def end_line(empty: bool = False) -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -108,76 +226,89 @@ def lines_of(page: str) -> list[tuple[str, bool, tuple]]:
             lines.append((blank, main > 0, place))
             within.append(hints)
         for hint in hints:
-            labelled[hint][0] += len(text)
+            hinted[hint].size += len(text)
 
-    def close(count: int) -> None:
+    def close(depth: int, named: bool = False) -> None:
+        """Close all elements from a place in the stack on; ``named`` if the outermost has its end tag."""
         nonlocal cut, main, hints, place
-        for _ in range(count):
-            _, was_cut, was_main, hint, container = open_elements.pop()
-            cut -= was_cut
-            main -= was_main
-            hints = hints[:-1] if hint is not None else hints
-            place = place[:-1] if container is not None else place
-
-    at = 0
-    while True:
-        tag = _TAG.search(page, at)
-        read = page[at : tag.start() if tag else len(page)]
-        if not cut:
-            parts.append(read)
+        while len(elements.stack) > depth:
+            gone = elements.pop()
+            cut -= gone.cut
+            main -= gone.main
+            if gone.hint is not None:
+                hints = hints[:-1]
+                # What a closing element holds is closed with it.
+                hinted[gone.hint].closed = named
+            place = place[:-1] if gone.container else place
+
+    def read(text: str) -> None:
+        nonlocal unread
+        if cut:
+            unread += len(text.strip())
         else:
-            unread += len(read.strip())
-        if tag is None:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+            parts.append(text)
+
+    for start, end, ending, name, attributes in tags(page):
+        if start < at:
+            continue  # within what was passed over
+        read(page[at:start])
+        at = end
         if not name:
             continue
-        ending, attributes = tag[1] == "/", tag[3]
-        if name in BLOCKS and not cut:
-            end_line()
         if ending:
-            depth = next((n for n, element in enumerate(reversed(open_elements), 1) if element[0] == name), 0)
+            if name in BLOCKS and not cut:
+                end_line()
+            depth = elements.last(name)
             # An end tag does not reach beyond the main element that it stands in.
-            if depth and (name in MAIN or not any(e[2] for e in open_elements[-depth:])):
-                close(depth)
+            if depth >= 0 and (name in MAIN or not elements.mains or elements.mains[-1] < depth):
+                close(depth, True)
             continue
-        for inner in range(len(open_elements) - 1, -1, -1):
-            closes = _CLOSED_BY.get(open_elements[inner][0])
-            if closes is None and open_elements[inner][0] in BLOCKS:
-                break
-            if closes and name in closes:
-                close(len(open_elements) - inner)
-                break
+        if elements.last("head") >= 0 and name not in HEADS:
+            close(elements.last("head"))
+        if name in BLOCKS and not cut:
+            end_line()
+        if (ended := elements.ended_by(name)) >= 0:
+            close(ended, True)
         if name in VOID or attributes.endswith("/"):
             continue
-        out = name in UNSEEN or _is_aside(name, attributes)
-        hint = not cut and not out and len(hints) < DEEPEST and _is_labelled(name, attributes)
+        part = _part_of(name, attributes)
+        if part == "hint" and (cut or len(hints) >= DEEPEST):
+            part = ""
+        out = part == "cut" or part in ("aside", "comments") and len(hints) >= DEEPEST
+        hint = not cut and not out and part != ""
         if (out or hint) and not cut:
             end_line(empty=name not in UNSEEN)
         if name in _RAW:
-            end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            found = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
+            at = found.end() if found else len(page)
             continue
         is_main = name in MAIN and not cut and not out
-        if is_main and not hint:
+        if is_main and part != "comments" and not hint:
             for outer in hints:
-                labelled[outer][1] = True
+                # Each comment may be an article of its own.
+                if hinted[outer].kind != "comments" or name == "main":
+                    hinted[outer].holds_main = True
         if hint:
-            labelled.append([0, False])
-            hints += (len(labelled) - 1,)
-        container = None
-        if name in CONTAINERS and len(place) < DEEPEST:
+            hinted.append(_Hint(part))
+            hints += (len(hinted) - 1,)
+        container = name in CONTAINERS and len(place) < DEEPEST
+        if container:
             number += 1
-            container = number
             place += (number,)
-        open_elements.append((name, out, is_main, len(labelled) - 1 if hint else None, container))
+        elements.push(_Element(name, out, is_main, len(hinted) - 1 if hint else None, container))
         cut += out
         main += is_main
+    read(page[at:])
     end_line()
     whole = unread + sum(len(text) for text, _, _ in lines)
-    gone = {hint for hint, (size, holds_main) in enumerate(labelled) if not holds_main and 2 * size <= whole}
-    return [("", inside, where) if gone.intersection(around) else (text, inside, where) for (text, inside, where), around in zip(lines, within)]
+    gone = {number for number, hint in enumerate(hinted) if hint.is_cut(whole)}
+    strict = {number for number in gone if hinted[number].kind != "hint"}
+    kept = []
+    for (text, inside, where), around in zip(lines, within):
+        if strict.intersection(around):
+            continue
+        kept.append(("" if gone.intersection(around) else text, inside, where))
+    return kept
 
 
 def _runs(weights: list[int], sides: list[bool], least: int) -> list[tuple[int, int]]:

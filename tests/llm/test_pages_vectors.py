@@ -1,6 +1,7 @@
 import html as entities
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -94,6 +95,35 @@ def test_pages_of_odd_rows(spark):
 def test_deep_and_broken_markup_takes_one_pass():
     assert html_text.main_text("<div>" * 20_000 + LONG) == LONG
     assert html_text.main_text("<p " * 2000 + LONG) is not None
+    size = 1_000_000
+    for page in (
+        "<p " * (size // 3), "<p>" + "<p " * (size // 3), "<p a='" * (size // 6) + ">", '<p a="\'>' * (size // 8), "<div>" * 60_000 + "</x>" * 60_000,
+        "<b>" * 60_000 + "<hr>" * 60_000, "<article>" + "<div>" * 60_000 + "</article></div>" * 60_000, "<nav>" * 60_000 + LONG, "<!--" * (size // 4), "<" * size,
+    ):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8, page[:20]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>T</title><meta charset=x><body><p>{LONG}</p></body>", LONG),
+        (f"<head><title>T</title><p>{LONG}", LONG),
+        (f"<body><form action=x><div><p>{LONG}<p>{LONG}</div><input><select><option>a</select></form>", f"{LONG} {LONG}"),
+        (f"<form><article><p>{LONG}</article></form><p>short", LONG),
+        (f"<article><p>{LONG}<form><label>Your name</label></form></article>", LONG),
+        (f"<nav><a>Home</a><p>{LONG}<p>{LONG}", f"{LONG} {LONG}"),
+        (f"<nav><a>Home</a><main><p>{LONG}</main>", LONG),
+        (f"<nav>{LONG} {LONG}</nav><p>{LONG}", LONG),
+        ("<article><p>A line of it.<section class=comments>" + f"<p>{LONG}" * 3 + "</section></article>", "A line of it."),
+        (f"<div><p>{LONG}</div><ol class=comment-list><li><article class=comment-body><p>{LONG}</article></ol>", LONG),
+        (f"<div id=main class=comments-open><p>{LONG}</div><div class='comment-body'><p>{LONG} {LONG}</div>", LONG),
+        (f"<p title='a > b'>{LONG}</p><p title='it's'>{LONG}", f"{LONG} {LONG}"),
+    ],
+)
+def test_common_pages(page, text):
+    assert html_text.main_text(page).removeprefix("Home ") == text
 
 
 ODD_URLS = [None, "", "nohost", "HTTP://A.COM?x", "x://net/es/", "http://h.net/es/1/2/3/4/5/6#a", "://", "http://b.Example.com/en/", "http://xnet/es/a"]
