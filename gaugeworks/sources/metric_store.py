@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +34,10 @@ METRIC_SCHEMA = (
 METRIC_COLUMNS = tuple(part.split()[0] for part in METRIC_SCHEMA.split(", "))
 STORED_ORDER = ("station_id", "device_id", "metric_name", "window_start")
 BATCH, RUN, ROW = "batch_seq", "run_id", "row_seq"
-# The run of a batch that is stored under a number of the caller's own.
+# Begins the folder of a batch that is stored under a number of the caller's own.
 NUMBERED = "numbered"
+# Every so many entries of the log one has all live folders; a claimed number is waited for so many tenths of a second.
+SNAPSHOT, PATIENCE = 20, 300
 
 
 def newest_per_key(rows: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def newest_per_key(rows: DataFrame) -> DataFrame:
 def upsert_metrics(existing: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` wins over ``existing``; inside ``new`` the row with the greatest ``row_seq`` wins."""
     row = F.col(ROW) if ROW in new.columns else F.lit(0).cast("bigint")
-    run = F.lit("").alias(RUN)
+    run = F.lit(0).cast("bigint").alias(RUN)
     return newest_per_key(
         existing.select(
             *METRIC_COLUMNS, F.lit(0).cast("bigint").alias(BATCH), run, F.lit(0).cast("bigint").alias(ROW)
@@ -61,33 +68,129 @@ def upsert_metrics(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+class ConflictError(RuntimeError):
+    """What a commit takes out of the store was taken out by another one before."""
+
+
+@dataclass(frozen=True)
+class Commit:
+    """One entry of the log: folders that come in, each with the place of its rows in the order of batches, and those that go."""
+
+    number: int
+    added: dict[str, int]
+    removed: tuple[str, ...]
+
+
+class CommitLog:
+    """An append-only log of numbered JSON files next to the data.
+
+    A number belongs to who creates its file first; the file appears whole, by a rename that does not replace. Who comes second reads
+    the entries before and takes the next number. What folders a store has is told by its log alone: folders of writers that
+    failed are in no entry. Every ``SNAPSHOT`` entries one repeats all live folders, and reading begins there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm = spark._jvm
+        self._folder = f"{path}/_log"
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def live(self) -> tuple[int, dict[str, tuple[int, int]]]:
+        """(number of the last entry, folder to (place in the order of batches, number of its entry)); -1 without entries."""
+        names = sorted(found.getPath().getName() for found in self._files.globStatus(self._path(f"{self._folder}/*.json")) or [])
+        whole = [n for n, name in enumerate(names) if name.endswith(".all.json")]
+        last, folders = -1, {}
+        for name in names[whole[-1] if whole else 0 :]:
+            last = int(name.split(".")[0])
+            entry = json.loads(self._read(name))
+            if "all" in entry:
+                folders = {folder: tuple(order) for folder, order in entry["all"].items()}
+            for folder in entry["removed"]:
+                folders.pop(folder, None)
+            folders |= {folder: (place, last) for folder, place in entry["added"].items()}
+        return last, folders
+
+    def commit(self, make: Callable[[int, dict[str, tuple[int, int]]], Commit]) -> Commit:
+        """Append what ``make`` gives for the next number and the live folders; asked again when another writer was first."""
+        while True:
+            last, folders = self.live()
+            entry = make(last + 1, folders)
+            if not folders.keys() >= set(entry.removed):
+                raise ConflictError(f"not in the store any more: {sorted(set(entry.removed) - folders.keys())}")
+            body = {"added": entry.added, "removed": list(entry.removed)}
+            snapshot = entry.number % SNAPSHOT == SNAPSHOT - 1
+            if snapshot:
+                body["all"] = folders
+            if self._create(f"{entry.number:020d}{'.all' if snapshot else ''}.json", json.dumps(body)):
+                return entry
+
+    def removed(self) -> set[str]:
+        """Folders that some entry took out."""
+        names = [found.getPath().getName() for found in self._files.globStatus(self._path(f"{self._folder}/*.json")) or []]
+        return {folder for name in names for folder in json.loads(self._read(name))["removed"]}
+
+    def _read(self, name: str) -> str:
+        stream = self._files.open(self._path(f"{self._folder}/{name}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, name: str, text: str) -> bool:
+        """Whether the file was made by this call. It is written under a name of its own, then renamed."""
+        target, own = self._path(f"{self._folder}/{name}"), self._path(f"{self._folder}/.{uuid4().hex}")
+        stream = self._files.create(own, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        # A local file system replaces on rename; a lock file made exclusively stands for the number there and elsewhere.
+        lock = self._path(f"{self._folder}/.{name}.lock")
+        try:
+            self._files.create(lock, False).close()
+        except Py4JJavaError as error:
+            self._files.delete(own, False)
+            if "AlreadyExists" not in str(error.java_exception):
+                raise
+            return self._taken(target)
+        return self._files.rename(own, target)
+
+    def _taken(self, target) -> bool:
+        """Wait until the one who was first has put its entry there; a writer that died in between leaves its number to be cleared by hand."""
+        for _ in range(PATIENCE):
+            if self._files.exists(target):
+                return False
+            time.sleep(0.1)
+        raise TimeoutError(f"{target} was claimed and never written; remove its lock if no writer is alive")
+
+
 class MetricStore:
-    """Metrics as batches of parquet; writing a batch again replaces it, reading resolves keys.
+    """Metrics as folders of parquet that a log lists; reading resolves keys.
 
-    An upsert costs what the batch holds, never a rewrite of what is stored. ``compact`` folds older
-    batches into one when there are many.
+    An upsert costs what the batch holds, never a rewrite of what is stored. ``compact`` folds all there is into one
+    folder, in place, while others read and write. Readers take their files from the log; they list nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self._spark = spark
         self._path = path
+        self._log = CommitLog(spark, path)
 
     def save(self, metrics: DataFrame, batch_seq: int | None = None) -> None:
-        """Store one batch. With a number of the caller's own, the same number again overwrites it.
+        """Store one batch. With a number of the caller's own, the same number again replaces it.
 
-        Without one the batch comes after all that are there and has a folder of its own: of two runs that save at the same
-        time both are kept, and where they have a key in common one of them wins.
+        Without one the batch comes after all that are committed before it; of two runs that save at the same
+        time both are kept, and where they have a key in common the later commit wins.
         """
-        run = uuid4().hex if batch_seq is None else NUMBERED
-        batch_seq = self.next_batch() if batch_seq is None else batch_seq
+        run = uuid4().hex if batch_seq is None else f"{NUMBERED}-{batch_seq}-{uuid4().hex}"
         row = F.col(ROW) if ROW in metrics.columns else F.lit(0).cast("bigint")
-        (
-            metrics.select(*METRIC_COLUMNS, row.alias(ROW))
-            .repartitionByRange(*METRIC_KEY)
-            .sortWithinPartitions(*METRIC_KEY)
-            .write.mode("overwrite")
-            .parquet(f"{self._path}/{BATCH}={batch_seq}/{RUN}={run}")
-        )
+        self._write(metrics.select(*METRIC_COLUMNS, row.alias(ROW)), run)
+
+        def entry(number: int, folders: dict) -> Commit:
+            if batch_seq is None:
+                return Commit(number, {run: _after(folders)}, ())
+            replaced = tuple(name for name in folders if name.startswith(f"{NUMBERED}-{batch_seq}-"))
+            return Commit(number, {run: batch_seq}, replaced)
+
+        self._log.commit(entry)
 
     def load(self) -> DataFrame:
         """All stored metrics, one row per key."""
@@ -99,16 +202,56 @@ class MetricStore:
         return rows.orderBy(*STORED_ORDER)
 
     def next_batch(self) -> int:
-        last = self._batches().agg(F.max(BATCH)).first()[0]
-        return 0 if last is None else last + 1
+        """A number after all that are stored; no data is read for it."""
+        return _after(self._log.live()[1])
 
-    def compact(self, path: str) -> None:
-        """Write the resolved metrics as batch 0 of a fresh store at ``path``."""
-        MetricStore(self._spark, path).save(self.load(), 0)
+    def compact(self) -> None:
+        """Put what is stored now into one folder. Batches committed meanwhile stay and come after it; if another compaction
+        was first, this one changes nothing and raises ``ConflictError``. Replaced folders are left to ``vacuum``."""
+        _, folders = self._log.live()
+        if len(folders) < 2:
+            return
+        run, last = f"compacted-{uuid4().hex}", max(place for place, _ in folders.values())
+        self._write(newest_per_key(self._read(folders)).withColumn(ROW, F.lit(0).cast("bigint")), run)
+        # It takes the place of the last batch it holds, so whatever is committed after that comes later.
+        self._log.commit(lambda number, _: Commit(number, {run: last}, tuple(folders)))
+
+    def vacuum(self) -> list[str]:
+        """Delete folders that were in the store once and are no more; reads that began before their end fail. Folders in no
+        entry yet, of writers at work, stay."""
+        names = set()
+        for folder in self._log._files.globStatus(self._log._path(f"{self._path}/data/*")) or []:
+            names.add(folder.getPath().getName())
+        gone = sorted(names & self._log.removed() - self._log.live()[1].keys())
+        for name in gone:
+            self._log._files.delete(self._log._path(self._folder(name)), True)
+        return gone
+
+    def _folder(self, run: str) -> str:
+        return f"{self._path}/data/{run}"
+
+    def _write(self, rows: DataFrame, run: str) -> None:
+        laid = rows.repartitionByRange(*METRIC_KEY).sortWithinPartitions(*METRIC_KEY)
+        laid.write.parquet(self._folder(run))
 
     def _batches(self) -> DataFrame:
-        schema = f"{METRIC_SCHEMA}, {ROW} bigint, {BATCH} bigint, {RUN} string"
-        return read_or_empty(self._spark, self._path, schema)
+        return self._read(self._log.live()[1])
+
+    def _read(self, folders: dict[str, tuple[int, int]]) -> DataFrame:
+        """The rows of some folders with their order: the batch, then the entry of the log."""
+        schema = f"{METRIC_SCHEMA}, {ROW} bigint"
+        if not folders:
+            return self._spark.createDataFrame([], f"{schema}, {BATCH} bigint, {RUN} bigint")
+        rows = self._spark.read.schema(schema).parquet(*[self._folder(name) for name in folders])
+        # A row per live folder, few between compactions, as a map that goes with the plan.
+        order = F.create_map(*[F.lit(item) for name, (place, number) in folders.items() for item in (name, f"{place} {number}")])
+        run = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        placed = rows.withColumn("_order", F.split(order[run], " "))
+        return placed.select(*METRIC_COLUMNS, ROW, F.col("_order")[0].cast("bigint").alias(BATCH), F.col("_order")[1].cast("bigint").alias(RUN))
+
+
+def _after(folders: dict[str, tuple[int, int]]) -> int:
+    return max((place for place, _ in folders.values()), default=-1) + 1
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

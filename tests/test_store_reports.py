@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from uuid import uuid4
 
@@ -14,7 +15,15 @@ from gaugeworks.plans.structured import (
     run_structured_query,
 )
 from gaugeworks.session import shared_folder
-from gaugeworks.sources.metric_store import METRIC_SCHEMA, MetricStore, query_metrics, upsert_metrics
+from gaugeworks.sources.metric_store import (
+    METRIC_SCHEMA,
+    Commit,
+    CommitLog,
+    ConflictError,
+    MetricStore,
+    query_metrics,
+    upsert_metrics,
+)
 
 
 def metric(value=9.5, **changes):
@@ -62,9 +71,46 @@ def test_runs_at_the_same_time_are_both_kept(spark):
     store.save(metrics(spark, metric(3.5)), 7)
     store.save(metrics(spark, metric(4.5)), 7)
     assert sorted(v for (v,) in rows(store.load(), "metric_value")) == [2.5, 4.5]
-    compacted = f"{shared_folder(spark)}/metrics-{uuid4().hex}"
-    store.compact(compacted)
-    assert sorted(v for (v,) in rows(MetricStore(spark, compacted).load(), "metric_value")) == [2.5, 4.5]
+    store.compact()
+    assert sorted(v for (v,) in rows(store.load(), "metric_value")) == [2.5, 4.5]
+    store.save(metrics(spark, metric(5.5)), 3)  # an older number than the compacted ones'
+    assert sorted(v for (v,) in rows(store.load(), "metric_value")) == [2.5, 4.5]
+
+
+def test_two_writers_and_a_compaction_between_them(spark):
+    path = f"{shared_folder(spark)}/metrics-{uuid4().hex}"
+    one, two = MetricStore(spark, path), MetricStore(spark, path)
+    one.save(metrics(spark, metric(1), metric(2, metric_name="other")))
+    one.save(metrics(spark, metric(3)))
+    # The second writer commits after the compaction has read, before it commits.
+    write = one._write
+    one._write = lambda rows, run: (write(rows, run), two.save(metrics(spark, metric(4), metric(5, metric_name="third"))))
+    one.compact()
+    assert sorted(v for (v,) in rows(two.load(), "metric_value")) == [2.0, 4.0, 5.0]
+    number, folders = two._log.live()
+    assert number == 3 and len(folders) == 2 and len(two.vacuum()) == 2 and two.vacuum() == []
+    assert sorted(v for (v,) in rows(one.load(), "metric_value")) == [2.0, 4.0, 5.0]
+    # Of two compactions of the same folders the second finds them gone.
+    one._write = lambda rows, run: (write(rows, run), two.compact())
+    with pytest.raises(ConflictError):
+        one.compact()
+    assert sorted(v for (v,) in rows(one.load(), "metric_value")) == [2.0, 4.0, 5.0]
+
+
+def test_commits_get_different_numbers_and_old_ones_are_not_read(spark):
+    path = f"{shared_folder(spark)}/log-{uuid4().hex}"
+    logs = [CommitLog(spark, path) for _ in range(4)]
+
+    def run(log):
+        return [log.commit(lambda number, folders: Commit(number, {uuid4().hex: number}, tuple(folders)[:1])).number for _ in range(6)]
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = sorted(number for found in pool.map(run, logs) for number in found)
+    assert numbers == list(range(24))
+    read, log = [], CommitLog(spark, path)
+    log._read = lambda name, read_whole=log._read: (read.append(name), read_whole(name))[1]
+    assert log.live()[0] == 23 and len(log.live()[1]) == 1
+    assert len(set(read)) == 5  # the snapshot, entry 19, and those after it
 
 
 def test_overlap_includes_touching_bounds(spark):
