@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from gaugeworks.operators.resample import resample_mean
 from gaugeworks.plans.reports import metrics_snapshot, quality_findings_text, snapshot_rows, station_summary_input
 from gaugeworks.plans.stations import ProcessedStations, process_stations
 from gaugeworks.plans.structured import run_structured_queries, run_structured_query
-from gaugeworks.session import write_down
-from gaugeworks.sources.metric_store import query_metrics, upsert_metrics
+from gaugeworks.session import shared_folder, write_down
+from gaugeworks.sources.metric_store import MetricStore, query_metrics, upsert_metrics
 from gaugeworks.sources.readings import scan_readings, with_station_metadata
 from registered import sql
 from registered.sql import CLEANED, DEVICE, FLATLINES, GAPS, HOUR_US, NORMALIZED, each, query, rounded
@@ -209,6 +210,16 @@ def metrics_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric_columns(upsert_metrics(daily_metrics(spark, sf_dir), new))
 
 
+def metrics_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a store: three commits, a compaction after the second, and a read."""
+    store = MetricStore(spark, f"{shared_folder(spark)}/metrics-{uuid4().hex}")
+    store.save(daily_metrics(spark, sf_dir))
+    store.save(daily_metrics(spark, sf_dir, "1h", OTHER_THRESHOLDS, LATER_RUNS))
+    store.compact()
+    store.save(daily_metrics(spark, sf_dir, "2h", None, LATER_RUNS))
+    return _metric_columns(store.load())
+
+
 def metrics_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = MetricQuery(station_id="S1", start_time=QUERY_FROM, end_time=QUERY_TO)
     return _metric_columns(query_metrics(daily_metrics(spark, sf_dir), asked))
@@ -304,6 +315,7 @@ QUERIES: dict[str, Query] = {
     "quality_findings": quality_findings,
     "metadata_join": metadata_join,
     "metrics_upsert": metrics_upsert,
+    "metrics_stored": metrics_stored,
     "metrics_overlap_filter": metrics_overlap_filter,
     "metric_query_mean": _metric_query("mean", "average_pressure_bar"),
     "metric_query_max": _metric_query("max", "peak_pressure_bar"),
@@ -648,3 +660,5 @@ placed AS (
 FROM asked LEFT JOIN snapshots USING (station_id)""",
     ),
 }
+# The store ends with the same rows.
+ORACLES["metrics_stored"] = ORACLES["metrics_upsert"]
