@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from __spark_entry__ import oracle_sql, queries
+from pyspark.sql import functions as F
 from test_documents import brute_score, brute_spans
 from test_duplicates import brute_components, brute_fingerprint
 
@@ -69,3 +70,43 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
 def test_run_gives_what_the_stages_give(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
+
+
+def test_stages_keep_odd_rows_as_they_say(spark):
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = "Word after word, line by line. " * 5000
+    odd = [
+        (9001, None, "fr", "web", None),
+        (9002, "", None, "web", 0),
+        (9003, "Write to a.b@c.de today.", "fr", None, 24),
+        (9003, "Write to a.b@c.de today.", "fr", None, 24),
+        (None, "A text without an id, but with 10.0.0.1 in it.", None, None, 5),
+        (9006, long, "en", "web", len(long)),
+    ]
+    rows = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("wanted", "Wanted_", "rejected_id", "kept_id", "component_id", "bits", "found", "t", "h", "k", "base")
+    more = base.select(rows.columns).limit(40).unionByName(rows)
+    for n, name in enumerate(names):
+        more = more.withColumn(name, F.lit(n))
+    for number, (title, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (more, more.limit(0)):
+            after = stage(spark, docs, SMALL)
+            assert number == 4 or after.columns == more.columns, title
+            found = [row for row in after.collect() if row.doc_id is None or row.doc_id > 9000]
+            if docs is not more:
+                assert not found and after.count() == 0
+                continue
+            ids = sorted((row.doc_id for row in found), key=repr)
+            if number in (2, 3, 4):
+                assert ids == [9001, 9002, 9003, 9003, 9006, None], title
+            if number == 0:
+                assert None in ids and ids.count(9003) in (0, 2)
+            if number == 1:
+                # Null and empty texts are one group, and of a repeated row one stays.
+                assert [i for i in ids if i in (9001, 9002)] == [9001] and ids.count(9003) == 1 and None in ids
+            if number == 3:
+                texts = {row.doc_id: (row.text, row.n_chars) for row in found}
+                assert texts[9001] == (None, None) and texts[9002] == ("", 0) and texts[9003] == ("Write to [EMAIL] today.", 23)
+                assert texts[None][0] == "A text without an id, but with [IP] in it."
+            if number == 4:
+                assert {row.n_tokens for row in found if row.doc_id in (9001, 9002)} == {0}
