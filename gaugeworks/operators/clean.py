@@ -28,9 +28,11 @@ def reading_order(frame: DataFrame, sensors: Sequence[str]) -> list[str]:
     return [TIME, *(["event_id"] if "event_id" in frame.columns else sensors)]
 
 
-def slice_readings(frame: DataFrame, sensors: Sequence[str], **limits: int) -> SlicedRows:
+def slice_readings(
+    frame: DataFrame, sensors: Sequence[str], *, counted: DataFrame | None = None, **limits: int
+) -> SlicedRows:
     usable = drop_unusable(frame)
-    return slice_rows(usable, DEVICE_KEYS, reading_order(frame, sensors), **limits)
+    return slice_rows(usable, DEVICE_KEYS, reading_order(frame, sensors), counted=counted, **limits)
 
 
 def drop_incomplete(frame: DataFrame, sensors: Sequence[str]) -> DataFrame:

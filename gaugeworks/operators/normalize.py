@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,8 +63,9 @@ def counted_columns(frame: DataFrame, contract: Contract) -> list[str]:
     return [TIME, *(n for n in contract.columns() if n != TIME and n in frame.columns)]
 
 
-def station_counts(normalized: DataFrame, contract: Contract) -> DataFrame:
-    """One row per station with every count the reports need, from one pass over the readings.
+def station_counts(normalized: DataFrame, contract: Contract, finer: Sequence[str] = ()) -> DataFrame:
+    """One row per station with every count the reports need, from one pass over the readings; ``finer`` names columns that
+    a station's counts are parted by as well, for ``rolled_up`` to add up again.
 
     ``malformed_<column>``, ``out_of_range_<column>`` and ``missing_<column>`` are plain longs, so the
     aggregation combines on the map side and a station with most of the rows costs no more than others.
@@ -86,7 +88,13 @@ def station_counts(normalized: DataFrame, contract: Contract) -> DataFrame:
             F.count_if(F.col(OUT_OF_RANGE)[position]).alias(f"out_of_range_{name}"),
             F.count_if(F.col(name).isNull()).alias(f"missing_{name}"),
         ]
-    return normalized.groupBy(STATION).agg(*counts)
+    return normalized.groupBy(STATION, *finer).agg(*counts)
+
+
+def rolled_up(counts: DataFrame, finer: Sequence[str]) -> DataFrame:
+    """Counts parted by ``finer`` as one row per station."""
+    names = [name for name in counts.columns if name not in (STATION, *finer)]
+    return counts.groupBy(STATION).agg(*[F.sum(name).alias(name) for name in names])
 
 
 def malformed_counts(counts: DataFrame, names: list[str]) -> Column:

@@ -55,6 +55,11 @@ class SlicedRows:
         return replace(self, rows=self.rows.select(*fixed, *extra))
 
 
+def calendar_slice(time: str, width_us: int = DAY_US) -> Column:
+    """The slice that a row's time belongs to while its piece of the calendar is not crowded."""
+    return F.expr(f"unix_micros({time}) div {width_us}") * _RANGES
+
+
 def slice_rows(
     frame: DataFrame,
     keys: Sequence[str],
@@ -62,18 +67,19 @@ def slice_rows(
     *,
     width_us: int = DAY_US,
     max_rows: int = MAX_SLICE_ROWS,
+    counted: DataFrame | None = None,
 ) -> SlicedRows:
     """Cut rows into slices; ``order[0]`` is the time column, the rest break ties.
 
-    Looking for crowded pieces is one counting job over the key columns. Without any, which is the
-    usual case, the result stays lazy and costs no shuffle of its own.
+    Looking for crowded pieces is one counting job over the key columns, unless ``counted`` has the ``_rows`` of each key and
+    ``calendar_slice`` already. Without any, which is the usual case, the result stays lazy and costs no shuffle of its own.
     """
     if width_us < _LEAST_WIDTH_US:
         raise ValueError(f"width_us must be at least {_LEAST_WIDTH_US}, got {width_us}")
     keys, order = tuple(keys), tuple(order)
-    piece = F.expr(f"unix_micros({order[0]}) div {width_us}")
-    frame = frame.withColumn(SLICE, piece * _RANGES)
-    counted = frame.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
+    frame = frame.withColumn(SLICE, calendar_slice(order[0], width_us))
+    if counted is None:
+        counted = frame.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     too_many = F.col("_rows") > max_rows
     row_count, pieces, crowded_rows = counted.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(too_many), F.sum(F.when(too_many, F.col("_rows")))

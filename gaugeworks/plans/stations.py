@@ -12,6 +12,7 @@ from gaugeworks.contract import Contract, default_contract
 from gaugeworks.operators.clean import apply_strategy, slice_readings
 from gaugeworks.operators.metrics import METRIC_UNITS, device_metrics_wide, metric_rows
 from gaugeworks.operators.normalize import (
+    DEVICE,
     DEVICE_KEYS,
     MALFORMED,
     OUT_OF_RANGE,
@@ -22,6 +23,7 @@ from gaugeworks.operators.normalize import (
     missing_percentages,
     normalize,
     out_of_range_counts,
+    rolled_up,
     station_counts,
     sum_of,
 )
@@ -32,7 +34,7 @@ from gaugeworks.operators.quality import (
     warning_texts,
 )
 from gaugeworks.operators.resample import resample_mean
-from gaugeworks.operators.slices import gather
+from gaugeworks.operators.slices import SLICE, calendar_slice, gather
 from gaugeworks.session import prepare_session, write_down
 from gaugeworks.sources.metric_store import MetricStore
 from gaugeworks.sources.readings import scan_readings, with_station_metadata
@@ -91,8 +93,8 @@ def process_stations(
 ) -> ProcessedStations:
     """Run every step for all stations asked for, without one bad station stopping the others.
 
-    The readings are read three times: for the counts, to look for crowded slices, and to lay them out by device and
-    slice; gaps, flatlines and cleaning then work on that layout without shuffling them again.
+    The readings are read twice: to count, per device and slice, what the reports need and how many rows a slice has, and to lay
+    them out by device and slice; gaps, flatlines and cleaning then work on that layout without shuffling them again.
     """
     options = options or ProcessingOptions()
     contract = contract or default_contract()
@@ -106,9 +108,12 @@ def process_stations(
         contract=contract,
     )
     normalized = normalize(scanned, contract)
-    counts = write_down(station_counts(normalized, contract))
+    finer = (DEVICE, SLICE)
+    fine = write_down(station_counts(normalized.withColumn(SLICE, calendar_slice(TIME)), contract, finer))
+    counts = write_down(rolled_up(fine, finer))
+    placed = fine.select(*DEVICE_KEYS, SLICE, F.col("usable_rows").alias("_rows")).where("_rows > 0")
     quality_frame = normalized.drop(MALFORMED, OUT_OF_RANGE)
-    sliced = gather(slice_readings(quality_frame, sensors))
+    sliced = gather(slice_readings(quality_frame, sensors, counted=placed))
 
     # The results of a run, each read by the summary and by whoever asked for them.
     gaps = write_down(detect_gaps(sliced))

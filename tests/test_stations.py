@@ -126,3 +126,17 @@ def test_metadata_reader(spark, tmp_path):
     )
     row = read_station_metadata(spark, str(tmp_path / "m.csv"), file_format="csv").first()
     assert (row.station_name, row.num_compressors, row.commissioned_date) == ("First", 3, "2020-01-01")
+
+
+def test_readings_are_evaluated_twice(spark):
+    evaluated = spark.sparkContext.accumulator(0)
+    stored = raw(spark, list(station_rows()))
+
+    def seen(batches):
+        for batch in batches:
+            evaluated.add(batch.num_rows)
+            yield batch
+
+    run = process_stations(stored.mapInArrow(seen, stored.schema), ProcessingOptions(missing_strategy="fill"))
+    assert run.summary.count() == 1 and run.metrics.count() == 21
+    assert evaluated.value == 2 * len(list(station_rows()))
