@@ -32,6 +32,8 @@ from gaugeworks.llm.parts import pieces_of, strings
 LEAST, WORDS, TOP, COVERED = 30, 4, 2000, 80
 #: Phrases in one trie.
 SHARD = 500_000
+#: Phrases whose counts travel together.
+BLOCK = 1 << 12
 #: Bits of the filter of frequent parts, at most.
 FILTER_BITS = 1 << 27
 #: Rows that a task keeps before it adds them up.
@@ -380,6 +382,18 @@ class Trie:
             at, state = at[held], after[held].astype(np.int64)
 
 
+def _added_blocks(table: pa.Table) -> pa.Table:
+    """(place, n) of one block of phrases, from all tasks' arrays of it."""
+    from zstandard import ZstdDecompressor
+
+    total = None
+    for data in table["data"]:
+        counts = np.frombuffer(ZstdDecompressor().decompress(data.as_py()), np.int64)
+        total = counts.copy() if total is None else total + counts
+    place = np.nonzero(total)[0]
+    return pa.table([pa.array(place + table["block"][0].as_py() * BLOCK), pa.array(total[place])], ["place", "n"])
+
+
 def count_phrases(texts: DataFrame, phrases: DataFrame, shard: int = SHARD) -> DataFrame:
     """(lang, phrase, n): how often each of ``phrases`` (lang, phrase) of two or more words occurs within pieces."""
     spark = texts.sparkSession
@@ -406,16 +420,22 @@ def count_phrases(texts: DataFrame, phrases: DataFrame, shard: int = SHARD) -> D
         places = spark.createDataFrame(listed.append_column("place", pa.array(np.arange(len(coded)))))
 
         def run(batches, sent=sent):
+            from zstandard import ZstdCompressor
+
             trie, ids, size = sent.value
             counts = np.zeros(size, np.int64)
             for lang, words in _by_language(batches):
                 known = ids.get(lang, {})
                 numbers = np.fromiter((known.get(word, 0) for word in strings(words.distinct)), np.int32, len(words.distinct))
                 trie.count(numbers[words.which], words.piece, counts)
-            place = np.nonzero(counts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], ["place", "n"])
-
-        counted = texts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+            # A task's counts go as a few arrays, not as a row per phrase.
+            pressed = ZstdCompressor(level=1)
+            blocks = [(at // BLOCK, pressed.compress(counts[at : at + BLOCK].tobytes())) for at in range(0, size, BLOCK) if counts[at : at + BLOCK].any()]
+            if blocks:
+                numbers, data = zip(*blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
+
+        counted = texts.mapInArrow(run, "block long, data binary").groupBy("block").applyInArrow(_added_blocks, "place long, n long")
         results.append(write_down(counted.join(places, "place").select("lang", "phrase", "n")))
     if not results:
         return spark.createDataFrame([], "lang string, phrase string, n long")
