@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,11 +21,16 @@ SPELLED = re.compile(r"@|\bat\b", re.I)
 EDGE = 8
 
 
+@lru_cache(maxsize=1)
+def _numbers() -> np.ndarray:
+    """The number of each code point."""
+    points = map(chr, range(0x110000))
+    return np.array([_PRINTABLE.get(c) or (96 if c.isspace() else 97 if c.isalpha() else 98) for c in points], np.int8)
+
+
 def ids_of(text: str) -> np.ndarray:
     """A number per character: printable ASCII by itself, the rest by sort."""
-    return np.array(
-        [_PRINTABLE.get(c) or (96 if c.isspace() else 97 if c.isalpha() else 98) for c in text], dtype=np.int64
-    )
+    return _numbers()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -186,19 +192,39 @@ def train(ids: np.ndarray, tags: np.ndarray, rounds: int, batch: int = 32, rate:
     return parameters
 
 
+def best_paths(stretches: list[np.ndarray], moves: np.ndarray, cells: int = 1 << 16) -> list[np.ndarray]:
+    """Viterbi over several (length, TAGS) at once; a text begins outside or at a begin. At most ``cells`` places, or one stretch, at a time."""
+    order = sorted(range(len(stretches)), key=lambda n: len(stretches[n]))
+    paths: list[np.ndarray] = [np.zeros(0, np.int8)] * len(stretches)
+    while order:
+        # Of like length, the longest first, so that padding is little.
+        some = order[-max(1, cells // len(stretches[order[-1]])) :]
+        del order[-len(some) :]
+        sizes = np.array([len(stretches[n]) for n in some])
+        scores = np.zeros((len(some), sizes[-1], TAGS))
+        for row, n in enumerate(some):
+            scores[row, : sizes[row]] = stretches[n]
+        total = scores[:, 0].copy()
+        total[:, 2::2] += _BLOCKED
+        back = np.zeros((sizes[-1], len(some), TAGS), np.int8)
+        for t in range(1, sizes[-1]):
+            first = int(np.searchsorted(sizes, t, "right"))  # rows are in order of length; those before have ended
+            steps = total[first:, :, None] + moves
+            back[t, first:] = steps.argmax(axis=1)
+            total[first:] = steps.max(axis=1) + scores[first:, t]
+        path, tag, rows = np.zeros((sizes[-1], len(some)), np.int8), total.argmax(axis=1), np.arange(len(some))
+        for t in range(sizes[-1] - 1, -1, -1):
+            path[t] = tag
+            live = sizes > t
+            tag = np.where(live, back[t, rows, tag], tag)
+        for row, n in enumerate(some):
+            paths[n] = path[: sizes[row], row]
+    return paths
+
+
 def best_tags(scores: np.ndarray, moves: np.ndarray) -> list[int]:
-    """Viterbi over (length, TAGS); a text begins outside or at a begin."""
-    total = scores[0].copy()
-    total[2::2] += _BLOCKED
-    back = np.empty(scores.shape, dtype=np.int64)
-    for t in range(1, len(scores)):
-        paths = total[:, None] + moves
-        back[t] = paths.argmax(axis=0)
-        total = paths[back[t], np.arange(TAGS)] + scores[t]
-    path = [int(total.argmax())]
-    for t in range(len(scores) - 1, 0, -1):
-        path.append(int(back[t, path[-1]]))
-    return path[::-1]
+    """Viterbi over (length, TAGS)."""
+    return best_paths([scores], moves)[0].tolist()
 
 
 def decode(parameters: dict, texts: list[str], at_a_time: int = 512) -> list[list[tuple[int, int, str, float]]]:
@@ -242,7 +268,7 @@ def _decode(parameters: dict, numbers: list[np.ndarray], blocks: list[set[int]],
     scores = np.concatenate(scores).astype(np.float64) if scores else np.zeros((0, WINDOW, TAGS))
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float64)[:, None]
     moves, spans = _moves(parameters), [([], set()) for _ in numbers]
-    first = 0
+    first, stretches = 0, []
     while first < len(places):
         last = first
         while last + 1 < len(places) and places[last + 1][0] == places[first][0] and places[last + 1][1] - places[last][1] <= STRIDE:
@@ -254,14 +280,18 @@ def _decode(parameters: dict, numbers: list[np.ndarray], blocks: list[set[int]],
             at = places[which][1] - base
             total[at : at + WINDOW] += weight * scores[which]
             heavy[at : at + WINDOW] += weight
-        mean = total[:size] / heavy[:size]
-        made = _spans(best_tags(mean, moves), marginals(mean[None], moves)[0], base)
+        stretches.append((n, base, places[last][1] // STRIDE, total[:size] / heavy[:size]))
+        first = last + 1
+    paths = best_paths([mean for _, _, _, mean in stretches], moves)
+    for (n, base, block, mean), path in zip(stretches, paths):
+        if not path.any():
+            continue  # no span, so nobody asks how certain it is
+        made = _spans(path.tolist(), marginals(mean[None], moves)[0], base)
         spans[n][0].extend(made)
         if base > 0 and any(start < base + EDGE for start, _, _, _ in made):
             spans[n][1].add(base // STRIDE - 1)
-        if base + size < len(numbers[n]) and any(end > base + size - EDGE for _, end, _, _ in made):
-            spans[n][1].add(places[last][1] // STRIDE + 1)
-        first = last + 1
+        if base + len(mean) < len(numbers[n]) and any(end > base + len(mean) - EDGE for _, end, _, _ in made):
+            spans[n][1].add(block + 1)
     return spans
 
 
