@@ -5,7 +5,8 @@ wildcard if it is variable (the node has many values with few rows each, or this
 if its branch is statistically like the node as a whole: its share of blocked rows, among rows that a rule
 judges, differs by two standard errors at most. Branches without judged rows cannot be compared and stay by themselves.
 A template is rejected if its smoothed purity, the share of blocked among judged rows with ``PRIOR_ROWS`` rows of the
-overall share, half at most, added, is high enough. Segments beyond ``DEPTH`` are one wildcard.
+overall share, half at most, added, is high enough. The tree goes on until no path has a segment left; a path that is alone
+at its node is finished there, as nothing that follows could be compared.
 
 Tables are reduced to distinct paths before they move, and the joins of a host's many paths are spread by salt.
 """
@@ -27,7 +28,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 4
+#: Levels of the tree that the SQL has steps for.
+SQL_LEVELS = 12
 MANY_VALUES = 5
 FEW_ROWS = 3
 RARE = 4
@@ -69,11 +71,15 @@ def path_templates(paths: DataFrame) -> DataFrame:
     segments = F.filter(F.split("path", "/"), lambda part: part != "")
     tree = paths.select("*", segments.alias("segments"), F.lit("").alias("template"))
     counts = [F.sum(name).alias(name) for name in ("n", "blocked", "allowed")]
-    for level in range(DEPTH):
+    finished, level = [], 0
+    while True:
         # Every level reads the last one several times; it is written down, so that plans do not grow.
-        tree = write_down(tree)
-        here = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(*counts)
+        tree = write_down(tree).withColumn("segment", F.get("segments", F.lit(level)))
+        finished.append(tree.where("segment is null").select(*paths.columns, "template"))
+        here = tree.where("segment is not null")
+        if here.isEmpty():
+            break
+        children = here.groupBy("host", "template", "segment").agg(*counts, F.count("*").alias("paths"))
         nodes = children.groupBy("host", "template").agg(
             F.count("*").alias("kinds"), F.sum("n").alias("rows"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")
         )
@@ -84,20 +90,24 @@ def path_templates(paths: DataFrame) -> DataFrame:
         rare = many & (F.col("n") * F.col("kinds") * RARE < F.col("rows"))
         far = F.col("blocked").cast("double") * all_judged - F.col("b").cast("double") * judged
         like = (F.col("kinds") > 1) & (judged > 0) & (far * far <= 4.0 * F.col("b") * F.col("a") * judged)
-        general = (
+        alone = (F.col("kinds") == 1) & (F.col("paths") == 1)
+        marked = (
             children.withColumn("salt", _salt("segment"))
             .join(_spread(nodes), ["host", "template", "salt"])
-            .where(variable | rare | like)
-            .select("host", "template", "segment", F.lit("*").alias("wild"))
+            .where(variable | rare | like | alone)
+            .select("host", "template", "segment", F.when(alone, "rest").otherwise("*").alias("mark"))
         )
-        label = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("wild", "segment")))
+        size = F.size("segments")
+        rest = F.array_join(F.slice("segments", level + 1, size), "/")
+        label = F.when(F.col("mark") == "rest", rest).when(F.col("mark") == "*", "*").otherwise(F.col("segment"))
+        left = F.when(F.col("mark") == "rest", F.array().cast("array<string>")).otherwise(F.col("segments"))
         tree = (
             here.withColumn("salt", _salt("path"))
-            .join(_spread(general), ["host", "template", "segment", "salt"], "left")
-            .select(*paths.columns, "segments", F.concat("template", label).alias("template"))
+            .join(_spread(marked), ["host", "template", "segment", "salt"], "left")
+            .select(*paths.columns, left.alias("segments"), F.concat("template", F.lit("/"), label).alias("template"))
         )
-    rest = F.when(F.size("segments") > DEPTH, "/**").otherwise("")
-    return tree.select(*paths.columns, F.concat("template", rest).alias("template"))
+        level += 1
+    return reduce(DataFrame.unionByName, finished)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -132,8 +142,8 @@ def judge(pages: DataFrame, rules: tuple = RULES, key: str = "page_id", url: str
     )
 
 
-def oracle(rules: tuple = RULES) -> str:
-    """The same in SQL, one step per level of the tree."""
+def oracle(rules: tuple = RULES, depth: int = SQL_LEVELS) -> str:
+    """The same in SQL, one step per level of the tree, for paths of ``depth`` segments at most."""
     ordered = sorted(rules, key=lambda rule: (-len(rule[1] + rule[2]), -len(rule[1])))
 
     def case(pick) -> str:
@@ -155,7 +165,7 @@ wild{n} AS (SELECT c.host, c.template, segment FROM children{n} c JOIN nodes{n}
 tree{n + 1} AS (SELECT t.host, path, n, blocked, allowed, segments, t.template ||
     CASE WHEN len(segments) <= {n} THEN '' WHEN w.segment IS NOT NULL THEN '/*' ELSE '/' || segments[{n + 1}] END AS template
   FROM tree{n} t LEFT JOIN wild{n} w ON t.host = w.host AND t.template = w.template AND segments[{n + 1}] = w.segment),"""
-        for n in range(DEPTH)
+        for n in range(depth)
     )
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -164,7 +174,7 @@ cased AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, path F
 ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM cased),
 tree0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked, count(*) FILTER (ruled = 'allow') AS allowed,
   list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template FROM ruled GROUP BY host, path),{levels}
-finished AS (SELECT host, path, blocked, allowed, template || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS template FROM tree{DEPTH}),
+finished AS (SELECT host, path, blocked, allowed, template FROM tree{depth}),
 overall AS (SELECT least(sum(blocked)::DOUBLE / greatest(sum(blocked) + sum(allowed), 1), 0.5::DOUBLE) AS share FROM finished),
 rejected AS (SELECT host, template FROM finished, overall GROUP BY host, template, share
   HAVING (sum(blocked) + {PRIOR_ROWS} * share) / (sum(blocked) + sum(allowed) + {PRIOR_ROWS}) >= {REJECT_FROM}),

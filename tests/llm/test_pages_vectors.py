@@ -126,7 +126,7 @@ def test_common_pages(page, text):
     assert html_text.main_text(page).removeprefix("Home ") == text
 
 
-ODD_URLS = [None, "", "nohost", "HTTP://A.COM?x", "x://net/es/", "http://h.net/es/1/2/3/4/5/6#a", "://", "http://b.Example.com/en/", "http://xnet/es/a"]
+ODD_URLS = [None, "", "nohost", "HTTP://A.COM?x", "x://net/es/", "http://h.net/es/1/2/3/4/5/6#a", "http://h.net/es/1/2/3/4/5/6/7#a", "http://h.net/p/1/2/3/4/x", "http://h.net/p/1/2/3/4/y", "://", "http://b.Example.com/en/", "http://xnet/es/a"]
 
 
 def test_urls_agree_with_sql(spark):
@@ -148,6 +148,15 @@ def test_urls_agree_with_sql(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_deep_branches_are_told_apart(spark):
+    # Branches differ from the sixth segment on; one of them is blocked wherever a rule looks.
+    urls = [f"http://h.org/1/2/3/4/5/{kind}/{n}/x" for kind in ("bad", "good") for n in range(30)] + ["http://h.org/" + "a/" * 3000 + "b"]
+    pages = spark.createDataFrame([(n, url) for n, url in enumerate(urls)], "page_id long, url string")
+    rules = tuple((("block", "h.org", f"/1/2/3/4/5/bad/{n}/")) for n in range(25)) + tuple(("allow", "h.org", f"/1/2/3/4/5/good/{n}/") for n in range(25))
+    verdicts = {row.page_id: (row.rule, row.verdict) for row in url_filter.judge(pages, rules).collect()}
+    assert verdicts[29] == (None, "block") and verdicts[59] == (None, "allow") and verdicts[60] == (None, "allow")
+
+
 def test_templates_reject_by_what_rules_say(spark):
     # Branch s is blocked wherever a rule looks; its other values fall under the same wildcard.
     urls = [f"http://h.org/s/{n}/a" for n in range(30)] + [f"http://h.org/s/{n}/b" for n in range(30)] + ["http://h.org/t/1/b"] * 3
