@@ -111,5 +111,6 @@ def with_station_metadata(frame: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def sorted_readings(frame: DataFrame) -> DataFrame:
-    """The reading order of reports: station, device, time."""
-    return frame.orderBy(*DEVICE_KEYS, TIME)
+    """The reading order of reports: station, device, time, and the event where several have one time; missing ones first."""
+    ties = ["event_id"] if "event_id" in frame.columns else []
+    return frame.orderBy(*[F.col(name).asc_nulls_first() for name in (*DEVICE_KEYS, TIME, *ties)])

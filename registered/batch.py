@@ -35,7 +35,7 @@ from gaugeworks.plans.stations import ProcessedStations, process_stations
 from gaugeworks.plans.structured import run_structured_queries, run_structured_query
 from gaugeworks.session import shared_folder, write_down
 from gaugeworks.sources.metric_store import MetricStore, query_metrics, upsert_metrics
-from gaugeworks.sources.readings import scan_readings, with_station_metadata
+from gaugeworks.sources.readings import scan_readings, sorted_readings, with_station_metadata
 from registered import sql
 from registered.sql import CLEANED, DEVICE, FLATLINES, GAPS, HOUR_US, NORMALIZED, each, query, rounded
 from registered.views import comparable, sensor_readings, station_metadata
@@ -68,6 +68,11 @@ def normalized_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(quality_frame(spark, sf_dir))
 
 
+def first_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 readings of a report, in its order."""
+    return comparable(sorted_readings(quality_frame(spark, sf_dir)).limit(500))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return station_counts(normalize(sensor_readings(spark, sf_dir), CONTRACT), CONTRACT)
 
@@ -291,6 +296,7 @@ def station_health_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "scan_station_range": scan_station_range,
     "normalized_readings": normalized_readings,
+    "first_readings": first_readings,
     "malformed_counts": malformed_count_rows,
     "out_of_range_counts": out_of_range_count_rows,
     "missing_pct": missing_pct,
@@ -489,6 +495,11 @@ WHERE station_id IN ('S0', 'S1') AND ts BETWEEN TIMESTAMP '{SCAN_FROM:%Y-%m-%d %
     "normalized_readings": query(
         NORMALIZED, select=f"SELECT event_id, ts AS timestamp, {DEVICE}, {_R6} FROM norm"
     ),
+    "first_readings": query(
+        NORMALIZED,
+        select=f"""SELECT event_id, ts AS timestamp, {DEVICE}, {_R6} FROM norm
+ORDER BY station_id NULLS FIRST, device_id NULLS FIRST, ts NULLS FIRST, event_id LIMIT 500""",
+    ),
     "malformed_counts": _count_rows(
         "count(*) FILTER (WHERE raw_{c} IS NOT NULL AND num_{c} IS NULL)",
         "malformed",
