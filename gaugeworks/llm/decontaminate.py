@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. A first pass over all documents counts in how many of them each n-gram of a
+Words are runs of letters and digits, lower-cased. Seeds are so short that a copy keeps one whatever words of it are replaced or
+deleted, as long as it reaches the threshold, and with as many words inserted. A first pass over all documents counts in how many of them each n-gram of a
 test item occurs. An item's rare seeds are, in every stretch of ``STRETCH`` n-grams, the ``RAREST`` that fewest documents hold
 among those that occur at all. A second pass cuts out, around what a document shares with an item, the passage that may hold a
 copy, and aligns it with the item word by word. Passages with a rare seed are aligned at once. Those held by common n-grams
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import rows_with, write_down
 
-SEED_WORDS = 5
+#: Words of a seed at most; see ``seed_words``.
+SEED_WORDS = 4
 STRETCH = 10
 RAREST = 2
 SIMILARITY = 0.8
@@ -68,17 +70,29 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def seed_words(size: int, similarity: float) -> int:
+    """How long the seeds of an item of so many words are.
+
+    A word that is replaced or deleted costs an alignment 1 and a quarter, so copies that reach the threshold lack ``lost`` words at
+    most, and one of the runs between them is at least as long as an even share. The same holds for as many inserted words, one
+    at least. Items of two words and one are seeds as a whole.
+    """
+    lost = int((1 - similarity) * size / (1 + MISMATCH) + 1e-9)
+    replaced, inserted = -(-(size - lost) // (lost + 1)), -(-size // (max(lost, 1) + 1))
+    return min(SEED_WORDS, size if size < 3 else min(replaced, inserted))
+
+
 class Items:
-    """Test items and the places of their n-grams; shorter items are one gram as a whole."""
+    """Test items and the places of their n-grams."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], similarity: float = SIMILARITY):
         self.ids, self.words, self.sizes = [], [], []
         places = defaultdict(list)
         for item_id, text in items:
             numbers = numbers_of(words_of(text or ""))
             if not len(numbers):
                 continue
-            size = min(SEED_WORDS, len(numbers))
+            size = seed_words(len(numbers), similarity)
             for place, gram in enumerate(grams_of(numbers, size).tolist()):
                 places[size, gram].append((len(self.ids), place))
             self.ids.append(item_id)
@@ -174,7 +188,7 @@ def contaminated(
     results = []
     for number in range(slices):
         part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == number).select("item_id", "text")
-        items = Items([tuple(row) for row in part.collect()])
+        items = Items([tuple(row) for row in part.collect()], similarity)
         if items.ids:
             results.append(_pass(spark, texts, items, similarity, fields))
     if not results:

@@ -219,6 +219,33 @@ def test_copies_of_test_items(spark):
     assert {(row.doc_id, row.item_id) for row in sliced.collect()} == set(found)
 
 
+def test_every_shape_of_edit_is_found(spark):
+    """Words replaced, deleted or inserted at every place, and spread evenly, in items of 1 to 40 words."""
+    items, rows, want = [], [], set()
+    for size in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 14, 19, 25, 26, 40):
+        item = [f"i{size}x{n}" for n in range(size)]
+        items.append((size, " ".join(item)))
+        lost = max(1, int(0.16 * size + 1e-9))
+        shapes = []
+        for at in range(size):
+            shapes += [[*item[:at], "new", *item[at + 1 :]], [*item[:at], *item[at + 1 :]], [*item[:at], "new", *item[at:]]]
+        for count in range(1, lost + 1):
+            places = {round((n + 1) * size / (count + 1)) for n in range(count)}
+            shapes.append(["new" if n in places else word for n, word in enumerate(item)])
+            shapes.append([word for n, word in enumerate(item) if n not in places])
+            shapes.append([word for n, old in enumerate(item) for word in (["new", old] if n in places else [old])])
+        shapes.append([word for n, old in enumerate(item) for word in ([old, "new"] if n % 4 == 3 else [old])])
+        for shape in shapes:
+            number = len(rows)
+            rows.append((number, f"a{number} b {' '.join(shape)} c d{number}"))
+            # A word put between the two of an item of two parts its only seed.
+            if brute_score(item, shape) >= 0.8 * size and (size > 2 or " ".join(item) in " ".join(shape)):
+                want.add((number, size))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(row.doc_id, row.item_id) for row in found} == want and len(want) > 400
+
+
 def test_copies_that_hundreds_of_documents_carry(spark):
     item = [f"q{n}" for n in range(40)]
     copy = [*item[:7], "changed", *item[8:23], "other", *item[24:]]
