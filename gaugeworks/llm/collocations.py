@@ -17,6 +17,7 @@ one numpy step per word, and counts the states that end a phrase. Sums over task
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -236,11 +237,12 @@ def heavy_buckets(texts: DataFrame, buckets: int, words_known: Filter, least: in
     return texts.mapInArrow(run, "range long, data binary").groupBy("range").applyInArrow(add, "h long")
 
 
-def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter, buckets: int) -> DataFrame:
-    """(lang, key, n): how often phrases of ``length`` words whose parts may be frequent occur, by a hash.
+def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter, buckets: int, least: int) -> DataFrame:
+    """(lang, key, n): phrases of ``length`` words whose parts may be frequent, by a hash, that occur ``least`` times or more.
 
     The upper half of the key is that of all but the last word's hash, the lower half that of the last word. ``known`` has the
-    frequent phrases one word shorter; for pairs it has the heavy ones of so many ``buckets``.
+    frequent phrases one word shorter; for pairs it has the heavy ones of so many ``buckets``. Tasks send their sorted keys and
+    counts as arrays, one per language and range of keys; there are as many ranges as the corpus asks for.
     """
     sent, words_sent = (texts.sparkSession.sparkContext.broadcast(one) for one in (known, words_known))
     half = np.uint64(32)
@@ -269,7 +271,54 @@ def proposals(texts: DataFrame, length: int, known: Filter, words_known: Filter,
         keys, counts = np.unique(keys, return_counts=True)
         return keys.view(np.int64), counts
 
-    return _summed(texts, of, "key", "long")
+    bits = max(0, (buckets // WIDTH).bit_length() - 1)
+
+    def run(batches):
+        from zstandard import ZstdCompressor
+
+        kept, size, pressed = defaultdict(list), 0, ZstdCompressor(level=1)
+
+        def made():
+            rows = []
+            for lang, parts in kept.items():
+                keys, counts = _added(*map(np.concatenate, zip(*parts)))
+                ranges = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                starts = np.concatenate([[0], np.nonzero(np.diff(ranges))[0] + 1, [len(keys)]]).tolist()
+                rows += [(lang, int(ranges[a]), pressed.compress(keys[a:b].tobytes() + counts[a:b].tobytes())) for a, b in zip(starts, starts[1:])]
+            langs, numbers, data = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["lang", "range", "data"])
+
+        for lang, words in _by_language(batches):
+            keys, counts = of(lang, words)
+            if len(keys):
+                kept[lang].append((keys.view(np.uint64), counts.astype(np.int64)))
+                size += len(keys)
+            if size > KEPT:
+                yield made()
+                kept, size = defaultdict(list), 0
+        if size:
+            yield made()
+
+    def add(table: pa.Table) -> pa.Table:
+        from zstandard import ZstdDecompressor
+
+        raw = [np.frombuffer(ZstdDecompressor().decompress(data.as_py()), np.uint64) for data in table["data"]]
+        halves = [np.split(one, 2) for one in raw]
+        keys, counts = _added(*map(np.concatenate, zip(*halves)))
+        often = counts >= least
+        lang = pa.array([table["lang"][0].as_py()] * int(often.sum()), pa.string())
+        return pa.table([lang, pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["lang", "key", "n"])
+
+    packed = texts.mapInArrow(run, "lang string, range long, data binary")
+    return packed.groupBy("lang", "range").applyInArrow(add, "lang string, key long, n long")
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order].astype(np.int64)
+    starts = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
 def candidates(texts: DataFrame, singles: DataFrame, total: int, least: int = LEAST, longest: int = WORDS) -> list[DataFrame]:
@@ -282,7 +331,7 @@ def candidates(texts: DataFrame, singles: DataFrame, total: int, least: int = LE
     last, found = words, []
     lower = words.select(F.col("lang").alias("wl"), F.col("phrase").alias("word"), F.col("h").alias("wh"), F.shiftrightunsigned("h", 32).alias("w32"))
     for length in range(2, longest + 1):
-        often = proposals(texts, length, known, words_known, buckets).where(F.col("n") >= least)
+        often = proposals(texts, length, known, words_known, buckets, least)
         halves = often.select("lang", F.shiftrightunsigned("key", 32).alias("p32"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("w32"))
         upper = last.select(F.col("lang").alias("pl"), F.col("phrase").alias("start"), F.col("h").alias("ph"), F.shiftrightunsigned("h", 32).alias("u32"))
         both = halves.join(upper, (F.col("lang") == F.col("pl")) & (F.col("p32") == F.col("u32")))
