@@ -132,9 +132,10 @@ def classify_events(parsed: DataFrame, seen: DataFrame | None = None) -> DataFra
     winners = firsts.filter(~F.col("known")).select(
         "event_id", F.col("first_arrival").alias(ARRIVAL), F.lit(True).alias("_first")
     )
+    # There is a winner per id: never one for a broadcast, whatever size is guessed before the ids are counted.
     good = (
         parsed.filter(F.col(STAGE) == GOOD)
-        .join(winners, ["event_id", ARRIVAL], "left")
+        .join(winners.hint("merge"), ["event_id", ARRIVAL], "left")
         .withColumn("outcome", F.when(F.col("_first"), OK).otherwise(DUPLICATE))
     )
     columns = [*parsed.columns, "outcome"]
@@ -181,14 +182,14 @@ def _untimed_outcomes(parsed: DataFrame, firsts: DataFrame) -> DataFrame:
     """Events without a readable time: duplicate if their id was accepted before, else an error.
 
     Ids may repeat without limit here, so each id is split into salted pieces and the one row it looks
-    up is copied to the pieces that exist.
+    up is copied to the pieces that exist. Both joins shuffle: neither the ids nor the pieces are few.
     """
     salt = F.pmod(F.xxhash64(ARRIVAL), F.lit(_SALTS)).alias("_salt")
     untimed = parsed.filter(F.col(STAGE) == NO_TIME).select("*", salt)
     pieces = untimed.select("event_id", "_salt").distinct()
-    lookup = pieces.join(firsts, "event_id")
+    lookup = pieces.join(firsts.hint("merge"), "event_id")
     repeated = F.col("known") | (F.col("first_arrival") < F.col(ARRIVAL))
-    return untimed.join(lookup, ["event_id", "_salt"], "left").withColumn(
+    return untimed.join(lookup.hint("merge"), ["event_id", "_salt"], "left").withColumn(
         "outcome", F.when(repeated, DUPLICATE).otherwise(INVALID)
     )
 

@@ -206,3 +206,14 @@ def test_a_repeated_id_stays_exact(spark, contract):
     assert found.count("ok") == 21
     assert found.count("duplicate") == 249
     assert found.count("validation_error") == 50
+
+
+def test_accepted_ids_are_never_broadcast(spark, contract, tmp_path):
+    # However small the guess: there is a row per id, and guesses from the files' compressed size are far too small.
+    payloads = [event("a"), event("a"), event("b"), event("b", timestamp="bad"), event("c", timestamp="bad")]
+    raw_events(spark, payloads).write.parquet(f"{tmp_path}/raw")
+    events = parse_events(spark.read.parquet(f"{tmp_path}/raw"), contract)
+    for made in (classify_events(events), classify_events(events, spark.createDataFrame([("a",)], "event_id string")), event_status(events)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert [outcome for _, outcome in rows(classify_events(events), "arrival_seq", "outcome")] == ["ok", "duplicate", "ok", "duplicate", "validation_error"]
