@@ -1,7 +1,7 @@
 """Ids accepted so far, in sets of files with membership filters, so that a batch opens only files that may hold its ids.
 
 A set holds the ids of one batch, or of the batches that a fold has put together. It is parted into pieces by a hash of the id, as
-many as its size asks for: twice as many whenever it doubles. Each piece has a blocked Bloom filter: the hash names a block of
+many as its size asks for: twice as many whenever it doubles. A task writes one piece, or filters for ``FILTER_IDS`` ids. Each piece has a blocked Bloom filter: the hash names a block of
 ``BLOCK_BITS`` bits, three more parts of it the bits there. Filters lie beside the sets, a row per block, in order of pieces.
 """
 
@@ -21,6 +21,8 @@ PIECE_IDS = 1_000_000
 #: Bits of a filter block, as many as Spark's bitmaps have.
 BLOCK_BITS = 1 << 15
 BITS_PER_ID = 16
+#: Ids whose filter blocks one task puts together.
+FILTER_IDS = 250_000
 #: Up to this many ids of one batch are sent to every task that scans filters or accepted ids.
 BROADCAST_IDS = 1_000_000
 #: Up to this many pieces are opened one by one; more are read as whole sets.
@@ -67,15 +69,17 @@ def write_ids(frame: DataFrame, name: str, ids: str, filters: str, rows: int, pi
     """Write a set; ``frame`` has ``rows`` rows with a column event_id and is read twice, so it should be stored."""
     pieces, blocks = shape(rows, piece_ids)
     parted = frame.withColumn(PIECE, _piece(F.lit(pieces)))
-    laid = parted.repartition(pieces, PIECE) if pieces > 1 else parted.coalesce(1)
+    # By number and not by hash, which would put several pieces into one task.
+    laid = parted.repartitionById(pieces, F.col(PIECE).cast("int")) if pieces > 1 else parted.coalesce(1)
     laid.write.mode("overwrite").partitionBy(PIECE).parquet(ids)
-    marked = frame.select(_piece(F.lit(pieces)).alias(PIECE), _block(F.lit(blocks)).alias("block"), F.explode(_bits()).alias("bit"))
+    # Ids are laid out by block first, so a block's bitmap is made in one task and none travels.
+    placed = frame.select(_piece(F.lit(pieces)).alias(PIECE), _block(F.lit(blocks)).alias("block"), _bits().alias("places"))
+    placed = placed.repartitionByRange(max(1, math.ceil(rows / FILTER_IDS)), PIECE, "block")
+    marked = placed.select(PIECE, "block", F.explode("places").alias("bit"))
     # Bitmap positions count from 0 within a block.
     made = marked.groupBy(PIECE, "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
     made = made.select(F.lit(name).alias("set"), PIECE, "block", "bits")
-    files = math.ceil(pieces * blocks / (1 << 14))
-    sorted_rows = made.repartitionByRange(files, PIECE, "block") if files > 1 else made.coalesce(1)
-    sorted_rows.sortWithinPartitions(PIECE, "block").write.mode("overwrite").parquet(filters)
+    made.sortWithinPartitions(PIECE, "block").write.mode("overwrite").parquet(filters)
     return IdSet(name, ids, filters, rows, pieces, blocks)
 
 
@@ -88,12 +92,12 @@ def _holds(place: str) -> str:
 def may_hold(spark: SparkSession, ids: DataFrame, count: int, sets: list[IdSet]) -> DataFrame:
     """(set, piece, event_id): the pieces that may hold each of the ``count`` ids; some per mille of them do not."""
     named = F.array(*[F.struct(F.lit(s.name).alias("set"), F.lit(s.pieces).cast("bigint").alias("pieces"), F.lit(s.blocks).cast("bigint").alias("blocks")) for s in sets])
-    asked = ids.select("event_id", F.explode(named).alias("s"), _bits().alias("places"))
-    asked = asked.select("event_id", "places", F.col("s.set").alias("set"), _piece(F.col("s.pieces")).alias(PIECE), _block(F.col("s.blocks")).alias("block"))
+    asked = ids.select("event_id", F.explode(named).alias("s"))
+    asked = asked.select("event_id", F.col("s.set").alias("set"), _piece(F.col("s.pieces")).alias(PIECE), _block(F.col("s.blocks")).alias("block"))
     filters = spark.read.schema("set string, piece bigint, block bigint, bits binary").parquet(*[s.filters for s in sets])
     if count * len(sets) <= BROADCAST_IDS:
         asked = F.broadcast(asked)
-    found = filters.join(asked, ["set", PIECE, "block"])
+    found = filters.join(asked, ["set", PIECE, "block"]).withColumn("places", _bits())
     return found.where(" AND ".join(_holds(f"places[{n}]") for n in range(3))).select("set", PIECE, "event_id")
 
 

@@ -25,7 +25,7 @@ from gaugeworks.operators.events import (
     retain_latest_ids,
 )
 from gaugeworks.session import shared_folder, write_down
-from gaugeworks.sources.events import read_event_stream
+from gaugeworks.sources.events import ARRIVAL, read_event_stream
 from gaugeworks.streaming.exact import EventTables, start_exact
 from gaugeworks.streaming.progress import StreamProgress, file_backlog
 from gaugeworks.streaming.windowed import windowed_aggregates
@@ -33,6 +33,10 @@ from registered.sql import ACCEPTED, AGGREGATES, PARSED, each, query, rounded
 from registered.views import comparable, raw_events
 
 CONTRACT = default_contract()
+#: Events of a micro-batch: what a task holds follows from it, not from the table's size.
+BATCH_ROWS = 2_000_000
+#: Bytes of a row group of files that are few and large: tasks can then share a file.
+SMALL_GROUPS = 8 << 20
 STREAM_FROM, STREAM_TO = datetime(2024, 1, 5), datetime(2024, 1, 19, 12)
 
 
@@ -99,13 +103,30 @@ def latest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain_latest_ids(write_down(accepted.select("event_id", "arrival_seq")), 1_000)
 
 
+def write_in_order(raw: DataFrame, path: str, files: int, batch_rows: int = BATCH_ROWS) -> None:
+    """Write events as files of a folder, ``files`` for each micro-batch and some ``batch_rows`` events in them, but two batches
+    at least. Those of a batch are written after those of the batch before: a stream takes files in the order of their times."""
+    batches = max(2, -(-raw.count() // batch_rows))
+    cuts = raw.approxQuantile(ARRIVAL, [n / batches for n in range(1, batches)], 0.1 / batches)
+    arrival = F.col(ARRIVAL)
+    # Quantiles are values of the column; events without a number come first.
+    bounds = [None, *sorted({int(cut) for cut in cuts}), None]
+    for low, high in zip(bounds, bounds[1:]):
+        inside = arrival.isNull() if low is None else arrival > low
+        if high is not None:
+            inside = inside | (arrival <= high) if low is None else inside & (arrival <= high)
+        elif low is None:
+            inside = F.lit(True)
+        raw.filter(inside).repartition(files).write.mode("append").parquet(path)
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> EventTables:
     """Run the exact stream over the events, written out as files of a shared folder, to the end."""
     root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    raw_events(spark, sf_dir).repartitionByRange(files, "arrival_seq").write.parquet(f"{root}/in")
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    write_in_order(raw_events(spark, sf_dir), f"{root}/in", files)
     tables = EventTables(spark, f"{root}/out")
-    events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=-(-files // 2))
+    events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=files)
     start_exact(events, tables, CONTRACT, f"{root}/checkpoint", drain=True).awaitTermination()
     return tables
 
@@ -127,11 +148,15 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_dealt(raw: DataFrame, path: str, files: int, group_bytes: int = SMALL_GROUPS) -> None:
+    """So many files whatever the table's size: rows are dealt round, in groups small enough for many tasks to share a file."""
+    raw.repartition(files).write.option("parquet.block.size", group_bytes).parquet(path)
+
+
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the listener saw of a stream that takes two of six files at a time."""
     root = f"{shared_folder(spark)}/progress-{uuid4().hex}"
-    # Six files whatever the table's size: rows are dealt round.
-    raw_events(spark, sf_dir).repartition(6).write.parquet(f"{root}/in")
+    write_dealt(raw_events(spark, sf_dir), f"{root}/in", 6)
     progress = StreamProgress.watch(spark, file_backlog(spark, f"{root}/in", f"{root}/checkpoint"))
     try:
         events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=2)

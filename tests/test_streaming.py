@@ -3,6 +3,7 @@ import os
 import re
 from uuid import uuid4
 
+import pyarrow.parquet
 from frames import rows
 from pyspark.sql import functions as F
 from test_events import event, raw_events
@@ -19,9 +20,11 @@ from gaugeworks.operators.events import (
 )
 from gaugeworks.session import shared_folder
 from gaugeworks.sources.events import kafka_events, read_event_stream
+from gaugeworks.streaming import accepted
 from gaugeworks.streaming.accepted import may_hold, seen_in, shape, write_ids
 from gaugeworks.streaming.exact import EventTables, process_batch, start_exact
 from gaugeworks.streaming.windowed import windowed_aggregates
+from registered.events import write_dealt, write_in_order
 
 COLUMNS = ("station_id", "device_id", "metric_type", "bucket", "bucket_start", "count", "total", "avg")
 
@@ -252,3 +255,35 @@ def test_windowed_mode_finishes_buckets_behind_the_watermark(spark, contract, tm
     )
     found = rows(spark.read.parquet(out).filter("metric_type = 'discharge_pressure'"), "bucket_start", "count")
     assert [(start.day, start.hour, count) for start, count in found] == [(1, 10, 2)]
+
+
+def test_a_task_writes_one_piece_and_some_filters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(accepted, "FILTER_IDS", 1000)
+    names = [f"e{n}" for n in range(5000)]
+    made = write_ids(id_frame(spark, names), "s", f"{tmp_path}/ids", f"{tmp_path}/filters", 5000, piece_ids=400)
+    tasks = [file.name.split("-")[1] for file in tmp_path.glob("ids/piece=*/part-*.parquet")]
+    assert len(tasks) == len(set(tasks)) == made.pieces == 16
+    blocks = spark.read.parquet(f"{tmp_path}/filters")
+    assert len(list(tmp_path.glob("filters/part-*.parquet"))) > 1
+    assert blocks.count() == blocks.select("piece", "block").distinct().count() == 16
+    assert {row.event_id for row in may_hold(spark, id_frame(spark, names), 5000, [made]).collect()} == set(names)
+
+
+def test_stream_input_is_written_batch_by_batch(spark, tmp_path):
+    raw = spark.range(1, 1001).selectExpr("if(id = 7, null, id) AS arrival_seq", "cast(id AS string) AS payload")
+    write_in_order(raw, f"{tmp_path}/in", 2, batch_rows=200)
+    files = sorted(tmp_path.glob("in/part-*.parquet"), key=lambda file: file.stat().st_mtime_ns)
+    assert len(files) == 10
+    read = [[row.arrival_seq for file in files[n : n + 2] for row in spark.read.parquet(str(file)).collect()] for n in range(0, 10, 2)]
+    assert all(100 <= len(batch) <= 300 for batch in read) and None in read[0]
+    known = [sorted(n for n in batch if n is not None) for batch in read]
+    assert [n for batch in known for n in batch] == [n for n in range(1, 1001) if n != 7]
+    write_in_order(raw.limit(0), f"{tmp_path}/none", 2)
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
+def test_tasks_can_share_a_dealt_file(spark, tmp_path):
+    raw = spark.range(60_000).selectExpr("id AS arrival_seq", "sha2(cast(id AS string), 256) AS payload")
+    write_dealt(raw, f"{tmp_path}/in", 2, group_bytes=64 << 10)
+    groups = [pyarrow.parquet.ParquetFile(file).metadata.num_row_groups for file in tmp_path.glob("in/part-*.parquet")]
+    assert len(groups) == 2 and min(groups) > 3
