@@ -8,6 +8,7 @@ holds more than two generations.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -122,6 +123,8 @@ def pieces_of(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iter
         end = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield batch.slice(start, end - start)
         start = end
+    # Arrow keeps for later what a batch took; the executor needs it now.
+    pa.default_memory_pool().release_unused()
 
 
 def binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -148,6 +151,8 @@ def library_encoder(path: str, blank_leads: bool) -> PartEncoder:
     """An encoder by the tokenizers library; raises if the file's words do not end where the parts do."""
     from tokenizers import Tokenizer
 
+    # A task has one core; threads for all of the machine's would each keep memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()

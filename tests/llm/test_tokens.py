@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from gaugeworks.llm import bpe, token_counts, token_store
-from gaugeworks.llm.common import vocabulary
+from gaugeworks.llm.common import BATCH_BYTES, table, vocabulary
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -147,3 +147,16 @@ def test_damage_is_noticed():
             reader = token_store.Reader(io.BytesIO(bytes(damaged)))
             for document in range(len(reader.ids)):
                 b"".join(reader.parts(document))
+
+
+def test_long_texts_reach_python_in_small_batches(spark, tmp_path):
+    spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(row.n for row in found) == 40 and max(row.bytes for row in found) <= BATCH_BYTES + (2 << 20)
