@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeworks.llm.common import write_down
+from gaugeworks.llm.common import small_batches, write_down
 from gaugeworks.llm.parts import library_encoder, pieces_of
 from gaugeworks.session import shared_folder
 
@@ -187,7 +187,8 @@ def write_tokens(
     # The ranges are found from the ids alone; texts are encoded where they then lie. Rows that repeat an id are parted by text.
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     sorted_docs = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    return write_down(sorted_docs.mapInArrow(run, "part long, file string, n_docs long, n_ids long"))
+    with small_batches(docs.sparkSession):
+        return write_down(sorted_docs.mapInArrow(run, "part long, file string, n_docs long, n_ids long"))
 
 
 def read_tokens(written: DataFrame, folder: str) -> DataFrame:

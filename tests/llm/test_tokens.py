@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from gaugeworks.llm import bpe, token_counts, token_store
-from gaugeworks.llm.common import BATCH_BYTES, table, vocabulary
+from gaugeworks.llm.common import BATCH_BYTES, small_batches, table, vocabulary
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -158,5 +158,6 @@ def test_long_texts_reach_python_in_small_batches(spark, tmp_path):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
 
-    found = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long, bytes long").collect()
+    with small_batches(spark):
+        found = table(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long, bytes long").collect()
     assert sum(row.n for row in found) == 40 and max(row.bytes for row in found) <= BATCH_BYTES + (2 << 20)
