@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ BLOCK_BITS = 1 << 15
 BITS_PER_ID = 16
 #: Ids whose filter blocks one task puts together.
 FILTER_IDS = 250_000
-#: Up to this many ids of one batch are sent to every task that scans filters or accepted ids.
+#: Up to this many ids of one batch are sent to every task that scans filters or accepted ids; ids count once per shape of a set.
 BROADCAST_IDS = 1_000_000
 #: Up to this many pieces are opened one by one; more are read as whole sets.
 NAMED_PIECES = 10_000
@@ -90,17 +91,28 @@ def _holds(place: str) -> str:
 
 
 def may_hold(spark: SparkSession, ids: DataFrame, count: int, sets: list[IdSet]) -> DataFrame:
-    """(set, piece, event_id): the pieces that may hold each of the ``count`` ids; some per mille of them do not."""
-    named = F.array(*[F.struct(F.lit(s.name).alias("set"), F.lit(s.pieces).cast("bigint").alias("pieces"), F.lit(s.blocks).cast("bigint").alias("blocks")) for s in sets])
-    asked = ids.select("event_id", F.explode(named).alias("s"))
-    asked = asked.select("event_id", F.col("s.set").alias("set"), _piece(F.col("s.pieces")).alias(PIECE), _block(F.col("s.blocks")).alias("block"))
-    filters = spark.read.schema("set string, piece bigint, block bigint, bits binary").parquet(*[s.filters for s in sets])
-    if count * len(sets) <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    found = filters.join(asked, ["set", PIECE, "block"]).withColumn("places", _bits())
+    """(set, piece, event_id): the pieces that may hold each of the ``count`` ids; some per mille of them do not.
+
+    Sets of one shape look for an id in the same place, so ids are laid out once per shape and not per set. Only they are
+    kept in memory; filters, which grow with all that was ever accepted, pass by.
+    """
+    shapes = sorted({(s.pieces, s.blocks) for s in sets})
+    forms = F.array(*[F.struct(F.lit(pieces).cast("bigint").alias("pieces"), F.lit(blocks).cast("bigint").alias("blocks")) for pieces, blocks in shapes])
+    asked = ids.select("event_id", F.explode(forms).alias("s")).select("event_id", "s.pieces", "s.blocks")
+    asked = asked.select("*", _piece(F.col("pieces")).alias(PIECE), _block(F.col("blocks")).alias("block"))
+    asked = F.broadcast(asked) if count * len(shapes) <= BROADCAST_IDS else asked.hint("shuffle_hash")
+    filters = reduce(DataFrame.unionByName, [_filters(spark, *form, sets) for form in shapes])
+    found = filters.join(asked, ["pieces", "blocks", PIECE, "block"]).withColumn("places", _bits())
     return found.where(" AND ".join(_holds(f"places[{n}]") for n in range(3))).select("set", PIECE, "event_id")
 
 
+def _filters(spark: SparkSession, pieces: int, blocks: int, sets: list[IdSet]) -> DataFrame:
+    """The filters of the sets of one shape."""
+    paths = [s.filters for s in sets if (s.pieces, s.blocks) == (pieces, blocks)]
+    read = spark.read.schema("set string, piece bigint, block bigint, bits binary").parquet(*paths)
+    return read.select("*", F.lit(pieces).cast("bigint").alias("pieces"), F.lit(blocks).cast("bigint").alias("blocks"))
+
+
 def read_sets(spark: SparkSession, sets: list[IdSet]) -> DataFrame:
     """All rows of some sets."""
     return spark.read.option("recursiveFileLookup", True).parquet(*[s.ids for s in sets])
@@ -125,6 +137,6 @@ def seen_in(spark: SparkSession, ids: DataFrame, count: int, sets: list[IdSet],
     if condition is not None:
         rows = rows.where(condition)
     asked = hits.select("event_id").distinct()
-    if count <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
+    # Rows pass by here as well: sorted, all that was ever accepted would be in memory.
+    asked = F.broadcast(asked) if hits.count() <= BROADCAST_IDS else asked.hint("shuffle_hash")
     return rows.join(asked, "event_id", "left_semi").select("event_id").distinct()

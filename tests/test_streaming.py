@@ -287,3 +287,25 @@ def test_tasks_can_share_a_dealt_file(spark, tmp_path):
     write_dealt(raw, f"{tmp_path}/in", 2, group_bytes=64 << 10)
     groups = [pyarrow.parquet.ParquetFile(file).metadata.num_row_groups for file in tmp_path.glob("in/part-*.parquet")]
     assert len(groups) == 2 and min(groups) > 3
+
+
+def test_look_ups_keep_only_the_ids_asked_for(spark, tmp_path, monkeypatch):
+    sizes = {"a": 400, "b": 400, "c": 400, "d": 900}
+    sets = []
+    for name, rows in sizes.items():
+        ids = id_frame(spark, [f"{name}{n}" for n in range(rows)])
+        sets.append(write_ids(ids, name, f"{tmp_path}/{name}/ids", f"{tmp_path}/{name}/filters", rows, piece_ids=500))
+    assert [one.pieces for one in sets] == [1, 1, 1, 2]
+    held = {"a7", "b399", "c0", "d1", "d888"}
+    asked = id_frame(spark, [*held, *[f"new{n}" for n in range(60)]])
+    # Two shapes: ids are sent twice, not four times, where so many may be sent.
+    for most, join in ((65 * 2, "BroadcastHashJoin"), (0, "ShuffledHashJoin")):
+        monkeypatch.setattr(accepted, "BROADCAST_IDS", most)
+        hits = may_hold(spark, asked, 65, sets)
+        found = seen_in(spark, asked, 65, sets)
+        assert held <= {row.event_id for row in hits.collect()}
+        assert {(row["set"], row.event_id) for row in hits.collect()} >= {(one[0], one) for one in held}
+        assert sorted(row.event_id for row in found.collect()) == sorted(held)
+        for frame in (hits, found):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert join in plan and "SortMergeJoin" not in plan
