@@ -35,6 +35,8 @@ from registered.views import comparable, raw_events
 CONTRACT = default_contract()
 #: Events of a micro-batch: what a task holds follows from it, not from the table's size.
 BATCH_ROWS = 2_000_000
+#: Files of a micro-batch at most: as many a task writes to side by side, for more Spark holds its rows in memory.
+MOST_FILES = 200
 #: Bytes of a row group of files that are few and large: tasks can then share a file.
 SMALL_GROUPS = 8 << 20
 STREAM_FROM, STREAM_TO = datetime(2024, 1, 5), datetime(2024, 1, 19, 12)
@@ -105,7 +107,9 @@ def latest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_in_order(raw: DataFrame, path: str, files: int, batch_rows: int = BATCH_ROWS) -> None:
     """Write events as files of a folder, ``files`` for each micro-batch and some ``batch_rows`` events in them, but two batches
-    at least. Those of a batch are written after those of the batch before: a stream takes files in the order of their times."""
+    at least. Those of a batch are written after those of the batch before: a stream takes files in the order of their times.
+
+    Rows are dealt by what they hold: to deal them round, each task would have to sort its part of the table in memory."""
     batches = max(2, -(-raw.count() // batch_rows))
     cuts = raw.approxQuantile(ARRIVAL, [n / batches for n in range(1, batches)], 0.1 / batches)
     arrival = F.col(ARRIVAL)
@@ -117,13 +121,18 @@ def write_in_order(raw: DataFrame, path: str, files: int, batch_rows: int = BATC
             inside = inside | (arrival <= high) if low is None else inside & (arrival <= high)
         elif low is None:
             inside = F.lit(True)
-        raw.filter(inside).repartition(files).write.mode("append").parquet(path)
+        raw.filter(inside).repartition(files, *raw.columns).write.mode("append").parquet(path)
+
+
+def batch_files(spark: SparkSession) -> int:
+    """Files of a micro-batch."""
+    return min(MOST_FILES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> EventTables:
     """Run the exact stream over the events, written out as files of a shared folder, to the end."""
     root = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    files = batch_files(spark)
     write_in_order(raw_events(spark, sf_dir), f"{root}/in", files)
     tables = EventTables(spark, f"{root}/out")
     events = read_event_stream(spark, f"{root}/in", source="parquet", max_per_trigger=files)

@@ -18,7 +18,7 @@ from gaugeworks.plans.stations import process_stations
 from gaugeworks.session import shared_folder, write_down
 from gaugeworks.sources.events import read_event_stream
 from gaugeworks.streaming.exact import EventTables, start_exact
-from registered.events import write_in_order
+from registered.events import batch_files, write_in_order
 from registered.sql import AGGREGATES, DEVICE, HOUR_US, PARSED, READINGS, each, query, resampled, rounded
 from registered.views import comparable, raw_events, sensor_readings
 
@@ -99,7 +99,7 @@ def rough_stream_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-batches with ids that come again in a later one, folded. Files are taken in the order they were written in:
     the events of a batch are there before those of the next."""
     root = f"{shared_folder(spark)}/rough-{uuid4().hex}"
-    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    files = batch_files(spark)
     # An event without a number has no place in the order.
     write_in_order(rough_events(spark, sf_dir).filter("arrival_seq IS NOT NULL"), f"{root}/in", files)
     tables = EventTables(spark, f"{root}/out")

@@ -24,7 +24,7 @@ from gaugeworks.streaming import accepted
 from gaugeworks.streaming.accepted import may_hold, seen_in, shape, write_ids
 from gaugeworks.streaming.exact import EventTables, process_batch, start_exact
 from gaugeworks.streaming.windowed import windowed_aggregates
-from registered.events import write_dealt, write_in_order
+from registered.events import MOST_FILES, batch_files, write_dealt, write_in_order
 
 COLUMNS = ("station_id", "device_id", "metric_type", "bucket", "bucket_start", "count", "total", "avg")
 
@@ -309,3 +309,32 @@ def test_look_ups_keep_only_the_ids_asked_for(spark, tmp_path, monkeypatch):
         for frame in (hits, found):
             plan = frame._jdf.queryExecution().executedPlan().toString()
             assert join in plan and "SortMergeJoin" not in plan
+
+
+def test_stream_input_is_dealt_without_a_sort(spark, tmp_path, monkeypatch):
+    raw = spark.range(1000).selectExpr("if(id < 300, null, id) AS arrival_seq", "cast(id AS string) AS payload")
+    plans, frame = [], type(raw)
+    repartition = frame.repartition
+
+    def dealt(self, *how):
+        made = repartition(self, *how)
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+        return made
+
+    monkeypatch.setattr(frame, "repartition", dealt)
+    write_in_order(raw, f"{tmp_path}/in", 4, batch_rows=500)
+    assert len(plans) == 2 and not any("RoundRobin" in plan for plan in plans)
+    assert len(list(tmp_path.glob("in/part-*.parquet"))) == 8
+    assert sorted(int(row.payload) for row in spark.read.parquet(f"{tmp_path}/in").collect()) == list(range(1000))
+
+
+def test_a_batch_has_no_more_files_than_a_task_writes_side_by_side(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for partitions in (2, 100, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(batch_files(spark))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == [2, 50, MOST_FILES]
